@@ -46,7 +46,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.__dict__["scratch_path"] = path
+    return back
 
 
 def _sweep() -> None:
@@ -61,3 +63,13 @@ def _sweep() -> None:
             path.getFileSystem(conf).delete(path, True)
     except Exception:  # the JVM may be gone already; the folder is then the cluster's to clean
         pass
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing will read again."""
+    path = df.__dict__.pop("scratch_path", None)
+    if path:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
