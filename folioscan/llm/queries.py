@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinctive, frequency, packing, spans, tokens
+from . import distinctive, encoding, frequency, lookalike, packing, spans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repair_fields(_read(spark, d, "match_rows"), encoding.fit_on(_read(spark, d, "documents")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_repaired(spark, d).select("match_id", "field")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.distinctive_terms(_read(spark, d, "postings")).select("path", "term")
 
@@ -33,6 +41,15 @@ def p5_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return frequency.term_frequencies(_read(spark, d, "postings"))
 
 
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "match_rows")
+    return lookalike.unify_fields(rows, lookalike.fit_on(rows), encoding.fit_on(_read(spark, d, "documents")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_unified(spark, d).select("match_id", "field")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(_read(spark, d, "documents"))
 
@@ -71,7 +88,7 @@ def p9_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return spans.repeated_paragraphs(_read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_scores, p5_found, p5_frequencies, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_share, p9_paragraphs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_scores, p5_found, p5_frequencies, p6_found, p6_unified, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_share, p9_paragraphs)}
 
 _COUNTED = """unit as (select lower(trim(term)) term, path, unit_ord, max(len(positions)) n from postings
   where trim(term) <> '' and positions is not null and path is not null group by all),
