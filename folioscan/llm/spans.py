@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, materialize
 
 MIN_CHARS = 200
 #: Length of the k-grams that serve as anchors.
@@ -175,6 +175,7 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, anchor_chars: int
     units = materialize(docs.mapInArrow(_find_units(t, k), "ah bigint, sh bigint, doc_id bigint, a bigint, b bigint"), "units")
     anchors = units.groupBy("ah").agg(F.min("doc_id").alias("mn"), F.max("doc_id").alias("mx")).filter("mn < mx").select("ah")
     shared = materialize(units.join(anchors, "ah", "left_semi"), "shared-units")
+    discard(units)
 
     earliest = F.min(F.struct("doc_id", "a", "b")).alias("rep")
     groups = shared.groupBy("ah", "sh").agg(F.min("doc_id").alias("mn"), F.max("doc_id").alias("mx"), earliest)
