@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinctive, encoding, frequency, lookalike, packing, spans, tokens
+from . import distinctive, encoding, frequency, lookalike, packing, scans, spans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("path", "term", "tf", "df", "file_len", F.round("score", 6).alias("score"))
 
 
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return scans.restore_fields(_read(spark, d, "match_rows"), scans.fit_on(_read(spark, d, "documents")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_restored(spark, d).select("match_id", "field")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return frequency.term_frequencies(_read(spark, d, "postings")).filter("mark is not null").select("term", "mark")
 
@@ -88,7 +96,7 @@ def p9_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return spans.repeated_paragraphs(_read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_scores, p5_found, p5_frequencies, p6_found, p6_unified, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_share, p9_paragraphs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_scores, p4_found, p4_restored, p5_found, p5_frequencies, p6_found, p6_unified, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_share, p9_paragraphs)}
 
 _COUNTED = """unit as (select lower(trim(term)) term, path, unit_ord, max(len(positions)) n from postings
   where trim(term) <> '' and positions is not null and path is not null group by all),
