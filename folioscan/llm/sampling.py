@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def sample_texts(docs: DataFrame, rows: int, text_col: str = "text", chars: int = 3000) -> list[str]:
-    """The ``rows`` non-blank texts with the least hash of their content, cut to ``chars`` for fitting only.
+    """Up to ``rows`` distinct non-blank texts, those with the least hash of their content, cut to ``chars`` for fitting only.
 
-    Distinct, so that copies don't fill it. At most ``rows * chars`` characters come to the driver.
+    Only texts below a bound of the hash, set from the row count, leave their task, and copies of one text
+    once: about ``1.5 * rows`` of them in all, however large the table is.
     """
-    text = F.substring(text_col, 1, chars).alias("t")
-    picked = docs.filter(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(text)
-    hashed = picked.select("t", F.xxhash64("t").alias("h"))
-    found = hashed.orderBy("h", "t").limit(rows).collect()
+    share = min(1.0, 1.5 * rows / max(1, docs.count()))
+    h = F.xxhash64(text_col)
+    texts = docs.filter(F.col(text_col).isNotNull() & (F.trim(text_col) != ""))
+    if share < 1:
+        texts = texts.filter(h < int(-(2**63) + share * 2**64))
+    found = texts.select(h.alias("h"), F.substring(text_col, 1, chars).alias("t")).dropDuplicates(["h"]).orderBy("h", "t").limit(rows).collect()
     return list(dict.fromkeys(r.t for r in found))
