@@ -29,17 +29,17 @@ _SHAPES = """
 A Α А|B Β В|C . С|E Ε Е|H Η Н|I Ι І|J . Ј|K Κ К|M Μ М|N Ν .|O Ο О|P Ρ Р|S . Ѕ|T Τ Т|X Χ Х|Y Υ У|Z Ζ .|Y . Ү|W . Ԝ|Q . Ԛ|
 a α а|c ϲ с|d . ԁ|e . е|h . һ|i ι і|j ϳ ј|l . ӏ|o ο о|p ρ р|q . ԛ|s . ѕ|u υ .|v ν ѵ|w . ԝ|x . х|y . у|y γ .|k κ к
 """
-_BLANKS = [" ", " ", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", "　"]
-_INVISIBLE = ["", "­", "᠎", "​", "‌", "‍", "‎", "‏", "⁠", "⁡", "⁢", "⁣", "⁤", "﻿"]
+_BLANKS = [" ", "\u00a0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u202f", "\u205f", "\u3000"]
+_INVISIBLE = ["", "\u00ad", "\u180e", "\u200b", "\u200c", "\u200d", "\u200e", "\u200f", "\u2060", "\u2061", "\u2062", "\u2063", "\u2064", "\ufeff"]
 _COMPAT = [*map(chr, range(0xFF01, 0xFF5F)), *map(chr, range(0xFB00, 0xFB07)), *map(chr, range(0xFB13, 0xFB18)), "Ĳ", "ĳ", *map(chr, range(0x1C4, 0x1CD)), *map(chr, range(0x1F1, 0x1F4)), *map(chr, range(0x1D400, 0x1D800))]
 SCRIPTS = ("Latin", "Greek", "Cyrillic")
 
-_CANDIDATE = r"[ ­̀-ͯͰ-ԯᄀ-ᇿ ᠎ἀ-῿ -‏  -⁤　ĲĳǄ-ǌǱ-ǳﬀ-ﬗ﻿！-～]|[\x{1d400}-\x{1d7ff}]"
-_WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
-_FOREIGN = re.compile(r"[Ͱ-ԯἀ-῿]")
-_SEPARATE = re.compile(r"[A-Za-zÀ-ɏͰ-ԯḀ-῿][̀-ͯ]")
+_CANDIDATE = r"[\u00a0\u00ad\u0300-\u036f\u0370-\u052f\u1100-\u11ff\u1680\u180e\u1f00-\u1fff\u2000-\u200f\u202f\u205f-\u2064\u3000\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\ufb00-\ufb17\ufeff\uff01-\uff5e]|[\x{1d400}-\x{1d7ff}]"
+_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+_FOREIGN = re.compile(r"[\u0370-\u052f\u1f00-\u1fff]")
+_SEPARATE = re.compile(r"[A-Za-z\u00c0-\u024f\u0370-\u052f\u1e00-\u1fff][\u0300-\u036f]")
 #: Scripts whose spelling needs joiners, and signs that are joined into one picture.
-_JOINING = re.compile("[؀-ࣿऀ-෿‍️☀-➿\U0001f000-\U0001faff]")
+_JOINING = re.compile("[\u0600-\u08ff\u0900-\u0dff\u200d\ufe0f\u2600-\u27bf\U0001f000-\U0001faff]")
 
 
 def script_of(c: str) -> str | None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: white space that pads terms (Python's str.strip set within the basic plane).
-_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85                 　"
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def counted(postings: DataFrame) -> DataFrame:
