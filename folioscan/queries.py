@@ -11,11 +11,12 @@ from pyspark.sql.window import Window
 from . import sqltext as S
 from .functions import text as T
 from .functions import words
-from .operators import index, ledger, search
+from .operators import index, ledger, pages, search
 from .plans import planning
-from .plans.scratch import materialize
+from .plans.scratch import materialize, new_path
 from .query.parser import Query
-from .sources import discovery
+from .sources import discovery, formats, reading
+from .streaming import upsert
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -67,10 +68,10 @@ def normalize_text(spark, d):
     return _texts(spark, d).select("doc_id", T.clean_extracted("text").alias("clean"), T.fold("text").alias("folded"))
 
 
-@query(rf"""select doc_id, regexp_replace(nfc_normalize(regexp_replace(regexp_replace({S.nfkc('text')}, '[\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]', '', 'g'), '[ \t]+', ' ', 'g')), '^\s+|\s+$', '', 'g') shown
+@query(rf"""select doc_id, regexp_replace(nfc_normalize(regexp_replace(regexp_replace(replace({S.nfkc('text')}, chr(13) || chr(10), chr(10)), '[\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]', '', 'g'), '[ \t]+', ' ', 'g')), '^\s+|\s+$', '', 'g') shown
 from documents where text is not null and not contains(text, '-' || chr(10)) and not contains(text, chr(173)) and not regexp_matches(text, '\n{{3,}}')""")
 def display_text(spark, d):
-    rows = _texts(spark, d).filter(~F.contains("text", F.lit("-\n")) & ~F.contains("text", F.lit("­")) & ~F.rlike("text", F.lit("\n{3,}")))
+    rows = _texts(spark, d).filter(~F.contains("text", F.lit("-\n")) & ~F.contains("text", F.lit("\u00ad")) & ~F.rlike("text", F.lit("\n{3,}")))
     return rows.select("doc_id", T.clean_display("text").alias("shown"))
 
 
@@ -404,3 +405,150 @@ select file_no, regexp_extract(path, '([^/]*)$', 1) filename, path full_path, ro
 def report_table(spark, d):
     rows = read(spark, d, "match_rows")
     return search.report_rows(rows).select("file_no", "filename", "full_path", "match_no", "score")
+
+
+# Readers, over the texts of files with their extensions
+
+def _of_type(spark, d, *exts):
+    return read(spark, d, "documents").filter(F.lower("ext").isin(*exts) & F.col("text").isNotNull()).select("doc_id", "text")
+
+
+@query("""with c as (select doc_id, [length(h) - length(replace(h, x, '')) for x in [',', ';', chr(9), '|']] n from (select doc_id, left(text, 8192) h from documents where text is not null))
+select doc_id, case when list_max(n) = 0 then ',' else [',', ';', chr(9), '|'][list_position(n, list_max(n))] end delimiter from c""")
+def csv_delimiter(spark, d):
+    return _texts(spark, d).select("doc_id", T.delimiter_of("text").alias("delimiter"))
+
+
+@query(r"""with c as (select doc_id, text, [length(h) - length(replace(h, x, '')) for x in [',', ';', chr(9), '|']] n from (select doc_id, text, left(text, 8192) h from documents where lower(ext) = 'csv' and text is not null and not contains(text, '"'))),
+l as (select doc_id, case when list_max(n) = 0 then ',' else [',', ';', chr(9), '|'][list_position(n, list_max(n))] end x, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) ls from c),
+r as (select doc_id, r, string_split(ls[r], x) cells from l, unnest(range(1, len(ls) + 1)) t(r)),
+f as (select doc_id, r, [regexp_replace(v, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g') for v in cells] cells from r)
+select doc_id, 'R' || r || ':C' || c "location", cells[c] text from f, unnest(range(1, len(cells) + 1)) t(c) where cells[c] <> ''
+union all select doc_id, 'R' || r, list_aggregate(list_filter(cells, lambda v: v <> ''), 'string_agg', ' | ') from f where len(list_filter(cells, lambda v: v <> '')) > 0""")
+def csv_cells_rows(spark, d):
+    texts = _of_type(spark, d, "csv").filter(~F.contains("text", F.lit('"')))
+    return reading.units_of_texts(texts, formats.csv_units).select("doc_id", "location", "text")
+
+
+@query()
+def markdown_blocks(spark, d):
+    return reading.units_of_texts(_of_type(spark, d, "md"), lambda t: [(str(i), "block", b) for i, b in enumerate(formats.markdown_blocks(t), 1)])
+
+
+@query()
+def html_blocks(spark, d):
+    page = F.concat(F.lit("<html><head><style>p {}</style></head><body><p>"), F.replace(T.html_escape("text"), F.lit("\n\n"), F.lit("</p>\n<p>")), F.lit("</p><script>var a = '</p>';</script></body></html>"))
+    return reading.units_of_texts(_texts(spark, d).select("doc_id", page.alias("text")), formats.html_units)
+
+
+@query(r"select doc_id, regexp_replace(regexp_replace(text, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g').trim() text from documents where lower(ext) in ('html', 'htm') and text is not null")
+def html_strip(spark, d):
+    return _of_type(spark, d, "html", "htm").select("doc_id", T.strip_tags("text").alias("text"))
+
+
+@query("select event_id, 'k' || chr(10) || (props->>'k') text from events where props is not null")
+def json_flatten(spark, d):
+    rows = read(spark, d, "events").filter("props is not null").select("event_id", F.col("props").alias("text"))
+    return reading.units_of_texts(rows, lambda t: [("1", "file", formats.json_text(t))], "event_id").select("event_id", "text")
+
+
+@query()
+def json_documents(spark, d):
+    return reading.units_of_texts(_of_type(spark, d, "json", "jsonl"), lambda t: [("1", "file", formats.json_text(t))])
+
+
+@query(r"""select doc_id, list_aggregate(list_filter(string_split(regexp_replace(regexp_replace(replace(text, chr(13), ''), '(?s)/\*.*?\*/', ' ', 'g'), '\n$', ''), chr(10)), lambda x: not regexp_matches(x, '^\s*#')), 'string_agg', chr(10)) text
+from documents where lower(ext) in ('ttl', 'nt') and text is not null and not regexp_matches(text, '[\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]')""")
+def turtle_text(spark, d):
+    rows = _of_type(spark, d, "ttl", "nt").filter(~F.rlike("text", F.lit(r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")))
+    return reading.units_of_texts(rows, lambda t: [("1", "file", formats.turtle_text(t))]).select("doc_id", F.regexp_replace("text", "\r", "").alias("text"))
+
+
+@query("""with r as (select n_nationkey, [n_nationkey::varchar, n_name, n_regionkey::varchar] c from nation)
+select n_nationkey, 'C' || i "location", 'cell' unit_kind, c[i] text from r, unnest([1, 2, 3]) t(i) union all select n_nationkey, 'R', 'row', c[1] || ' | ' || c[2] || ' | ' || c[3] from r""")
+def table_cells_rows(spark, d):
+    return reading.table_units(read(spark, d, "nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
+
+
+@query("""select o_orderkey, 2 n_hits from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'""")
+def table_search(spark, d):
+    """A phrase with a wildcard over the cells and rows of a table: a hit in the row, and one in its cell."""
+    cells = reading.table_units(read(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    rows = cells.select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("unit_kind") == "row", 0).otherwise(1).alias("unit_ord"), "location", "unit_kind", "text")
+    units = search.prepare_units(rows, stemming=False)
+    hit = search.search_units(units, Query('"1 urg*"', stemming=False))
+    both = search.search_units(units, Query('f "1 urg*"', stemming=False)).select("path")
+    return hit.join(both, "path", "left_semi").groupBy("path").agg(F.count("*").cast("int").alias("n_hits")).select(F.col("path").cast("bigint").alias("o_orderkey"), "n_hits")
+
+
+# Quality of page texts; the paragraphs of a document stand for its pages
+
+_QUALITY = r"""q as (select doc_id, text, n, case when n > 0 then len(regexp_extract_all(text, '\p{L}')) / n else 0 end alpha, case when len(ws) > 0 then len(list_distinct(ws)) / len(ws) else 0 end uniq
+from (select doc_id, text, length(text) n, regexp_extract_all(text, '[\p{L}\p{N}_]+') ws from documents where text is not null))"""
+
+
+@query(f"with {_QUALITY} select doc_id, round(alpha, 6) alpha, round(uniq, 6) uniq, n < 60 or alpha < 0.15 or uniq < 0.10 garbage, n < 120 or alpha < 0.15 poor from q")
+def text_quality(spark, d):
+    return _texts(spark, d).select("doc_id", F.round(T.alpha_share("text"), 6).alias("alpha"), F.round(T.unique_share("text"), 6).alias("uniq"), T.is_garbage("text").alias("garbage"), T.is_poor("text").alias("poor"))
+
+
+def _pages(spark, d):
+    docs = _texts(spark, d)
+    return docs.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+
+
+_PAGES = "pg as (select doc_id::varchar path, i page, ps[i] text from (select doc_id, string_split(text, chr(10) || chr(10)) ps from documents where text is not null), unnest(range(1, len(ps) + 1)) t(i))"
+
+
+@query(rf"""with {_PAGES}, c as (select path, page, 0 k, text from pg union all select path, page, 1, regexp_replace(text, '\p{{Nd}}+', '', 'g') from pg),
+s as (select *, coalesce(length(text), 0) n, len(regexp_extract_all(text, '\p{{L}}')) a, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') ws from c),
+v as (select path, page, k, case when n > 0 then n * (0.7 * (a / n) + 0.3 * case when len(ws) > 0 then len(list_distinct(ws)) / len(ws) else 0 end) else 0 end score from s)
+select path, page::int page, (arg_max(k, (round(score, 9), -k)))::int source_ord from v group by path, page""")
+def best_candidates(spark, d):
+    p = _pages(spark, d)
+    both = p.select("path", "page", F.lit(0).alias("source_ord"), "text").unionByName(p.select("path", "page", F.lit(1).alias("source_ord"), F.regexp_replace("text", r"\p{Nd}+", "").alias("text")))
+    return pages.best_candidate(both).select("path", "page", "source_ord")
+
+
+@query(rf"""with {_PAGES}, l as (select path, page, list_filter([trim(x) for x in string_split(text, chr(10))], lambda x: x <> '') ls from pg),
+e as (select path, unnest([ls[1], regexp_replace(ls[1], '\p{{Nd}}+', '#', 'g'), ls[-1], regexp_replace(ls[-1], '\p{{Nd}}+', '#', 'g')]) line, unnest([1, 1, 0, 0]) h from l where len(ls) > 0),
+n as (select path, count(*) k from pg group by path having count(*) >= 3)
+select path, line, sum(h) >= greatest(1, floor(0.7 * any_value(k))) is_header, sum(1 - h) >= greatest(1, floor(0.7 * any_value(k))) is_footer from e join n using (path) group by path, line
+having sum(h) >= greatest(1, floor(0.7 * any_value(k))) or sum(1 - h) >= greatest(1, floor(0.7 * any_value(k)))""")
+def header_footer_lines(spark, d):
+    return pages.running_lines(_pages(spark, d))
+
+
+@query()
+def header_footer_stripped(spark, d):
+    return pages.strip_running_lines(_pages(spark, d)).select("path", "page", "text")
+
+
+@query(r"""with pg as (select path, i page, ps[i] text from (select path, string_split(min(text), chr(10) || chr(10)) ps from documents where text is not null and path is not null group by path), unnest(range(1, len(ps) + 1)) t(i)),
+h as (select path, string_agg(text, chr(10) order by page) head from pg where page <= 2 group by path),
+f as (select distinct path, lower(regexp_extract(path, '\.[^./]*$')) e from documents where path is not null)
+select path from f left join h using (path) where e in ('.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp', '.gif', '.webp')
+or e = '.pdf' and (length(trim(coalesce(head, ''))) < 120 or len(regexp_extract_all(trim(head), '\p{L}')) / length(trim(head)) < 0.15)""")
+def ocr_candidates(spark, d):
+    docs = read(spark, d, "documents").filter("path is not null")
+    files = docs.select("path", T.extension("path").alias("ext")).distinct()
+    texts = docs.filter("text is not null").groupBy("path").agg(F.min("text").alias("text"))
+    paged = texts.select("path", F.posexplode(F.split("text", "\n\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return discovery.ocr_candidates(files, paged)
+
+
+@query(_KEYED + "select term, count(*) n_units, sum(len(positions))::bigint n_positions from postings2 group by term")
+def stream_index_upsert(spark, d):
+    """The index that a stream of documents, every one delivered twice, has built in the end."""
+    folder = new_path(spark, "stream-index")
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/documents.parquet").schema).parquet(_stream_source(d))
+    rows = stream.select(F.concat_ws("#", "path", "doc_id").alias("path"), F.col("doc_id").alias("unit_ord"), F.col("source").alias("root_folder"), "modified", "text")
+    for run in (1, 2):
+        upsert.index_stream(rows, folder, f"{folder}/checkpoint-{run}").awaitTermination()
+    found = upsert.current_postings(spark, folder)
+    return found.groupBy("term").agg(F.count("*").alias("n_units"), F.sum(F.size("positions")).alias("n_positions"))
+
+
+def _stream_source(d: str) -> str:
+    """A pattern for the table's file or folder, as streams take no single file."""
+    return f"{d}/documents.parque[t]"

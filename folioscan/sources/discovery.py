@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,8 @@ def scan(spark: SparkSession, roots: Iterable[str], types: Iterable[str] | None
         df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root if recursive else f"{root.rstrip('/')}/*")
         path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
         cols = [path.alias("path"), T.extension(path).alias("ext"), F.lit(root).alias("root_folder"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
+        if not recursive:  # the pattern also lists one level further down
+            df = df.filter(F.regexp_replace(path, "/[^/]*$", "") == re.sub("^file:/*", "/", root.rstrip("/")))
         df = df.select(*cols, *(["content"] if content else []))
         out = df if out is None else out.unionByName(df)
     if out is None:

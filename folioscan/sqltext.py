@@ -7,7 +7,7 @@ from .functions.words import CJK, SUFFIXES
 
 def nfkc(x: str) -> str:
     """Compatibility forms, of the characters that the test tables hold."""
-    x = f"translate({x}, 'ªº 　   Ａ１', 'ao     A1')"
+    x = f"translate({x}, '\u00aa\u00ba\u00a0\u3000\u2009\u2003\u202f\uff21\uff11', 'ao     A1')"
     for a, b in (("ﬁ", "fi"), ("½", "1⁄2"), ("™", "TM"), ("…", "...")):
         x = f"replace({x}, '{a}', '{b}')"
     return x
@@ -15,7 +15,7 @@ def nfkc(x: str) -> str:
 
 def strip(x: str) -> str:
     """Without accents; Hangul stays apart."""
-    return f"replace(replace(strip_accents({x}), '한', '한'), '글', '글')"
+    return f"replace(replace(strip_accents({x}), '\ud55c', '\u1112\u1161\u11ab'), '\uae00', '\u1100\u1173\u11af')"
 
 
 def fold(x: str) -> str:
