@@ -226,8 +226,14 @@ def fit(texts: Iterable[str], seed: int = 7) -> EncodingModel:
     for w, n in list(clean.items()):
         core = w[2:-2]
         for other in (core.upper(), core.capitalize()):
-            if other != core and n > 1:
-                mixed[w[:2] + other + w[-2:]] += 1 + n // 20
+            if other != core:
+                mixed[w[:2] + other + w[-2:]] += 1 + n // 10
+        if core.isalpha() and len(core) > 2:  # cut by the edge of a snippet, or spaced out by a scan
+            cut = rng.randrange(1, len(core))
+            mixed["  " + core[cut:] + w[-2:]] += 1
+            mixed[w[:2] + core[:cut] + "  "] += 1
+            for _, _, x in words_of(" ".join(core)):
+                mixed[x] += 1
     counts = np.full((BUCKETS, len(LABELS)), SMOOTH)
     items = [(w, n) for w, n in clean.items() if "�" not in w]
 
