@@ -109,9 +109,15 @@ def result_order() -> list:
 
 
 def dedup_context(matches: DataFrame) -> DataFrame:
-    """One row of those with equal context and query (across files): the best ranked. Null contexts count as ''."""
-    w = Window.partitionBy(F.coalesce("context", F.lit("")), F.coalesce("query", F.lit(""))).orderBy(*result_order())
-    return matches.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row of those with equal context and query (across files): the best ranked. Null contexts count as ''.
+
+    A grouping with its minimum taken on the map side, as rows without context may be one large group.
+    """
+    order = [F.coalesce(-F.col("relevance_score"), F.lit(float("inf"))).alias("_0"), *[F.col(c) for c in ("path", "unit_ord", "root_folder", "context")]]
+    row = F.struct(*[matches[c] for c in matches.columns]).alias("row")
+    best = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], row)).alias("best")
+    keys = [F.coalesce("context", F.lit("")).alias("_c"), F.coalesce("query", F.lit("")).alias("_q")]
+    return matches.groupBy(*keys).agg(best).select("best.row.*")
 
 
 def rank_files(matches: DataFrame) -> DataFrame:
@@ -123,28 +129,28 @@ def rank_files(matches: DataFrame) -> DataFrame:
     return number_rows(files, [F.desc("best"), F.asc("path")], "file_no")
 
 
-def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Rows numbered from 1 in a total order, distributed: sorted by range, then numbered within each range."""
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
-    # one row for each range, of which there are as many as shuffle partitions
-    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p] = total
-        total += sizes[p]
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    if not before:
-        return ranged.withColumn(name, F.lit(0).cast("bigint")).drop("_part")
-    offset = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n).cast("bigint"))])[F.col("_part")]
-    return ranged.withColumn(name, within + offset).drop("_part")
+def number_rows(df: DataFrame, order: list, name: str, within: str | None = None) -> DataFrame:
+    """Rows numbered from 1 in a total order, over all or ``within`` each value of a column.
+
+    Distributed even if one value holds most rows: sorted by range, numbered within each range, and moved by the
+    sizes of the ranges before, of which there are as many as shuffle partitions (for each value that spans several).
+    """
+    group = F.col(within) if within else F.lit(0)
+    ranged = df.withColumn("_group", group)
+    ranged = materialize(ranged.repartitionByRange(F.col("_group"), *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_group", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_group", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part", "_group").orderBy(*order))
+    numbered = ranged.withColumn(name, local).join(sizes.withColumnsRenamed({"_group": "_g", "_part": "_p"}), F.col("_part").eqNullSafe(F.col("_p")) & F.col("_group").eqNullSafe(F.col("_g")))
+    return numbered.withColumn(name, F.col(name) + F.col("_before")).drop("_group", "_part", "_g", "_p", "_before")
 
 
 def report_rows(matches: DataFrame, dedup: bool = True) -> DataFrame:
     """Rows of a report: files by best score, matches within a file by score, both numbered from 1."""
     kept = dedup_context(matches) if dedup else matches
     kept = materialize(kept, "report")
-    w = Window.partitionBy("path").orderBy(*result_order())
-    rows = kept.withColumn("match_no", F.row_number().over(w)).join(rank_files(kept).select("path", "file_no"), "path")
+    rows = number_rows(kept, result_order(), "match_no", "path").join(rank_files(kept).select("path", "file_no"), "path")
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)
     folder = F.regexp_replace("path", r"[/\\]?[^/\\]*$", "")
     label = F.concat_ws(" ", T.position_label(T.extension("path")), "location")

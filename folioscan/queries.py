@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import sqltext as S
 from .functions import text as T
@@ -385,8 +384,8 @@ def file_rank(spark, d):
 
 @query("select match_id, row_number() over (partition by path order by relevance_score desc, unit_ord, match_id)::bigint match_no from match_rows")
 def match_rank(spark, d):
-    w = Window.partitionBy("path").orderBy(F.desc("relevance_score"), "unit_ord", "match_id")
-    return read(spark, d, "match_rows").select("match_id", F.row_number().over(w).cast("bigint").alias("match_no"))
+    rows = read(spark, d, "match_rows").select("match_id", "path", "unit_ord", "relevance_score")
+    return search.number_rows(rows, [F.desc("relevance_score"), F.asc("unit_ord"), F.asc("match_id")], "match_no", "path").select("match_id", "match_no")
 
 
 @query("""select root_folder, regexp_extract(root_folder, '([^/]*)$', 1) folder_name, count(*) n_matches, count(distinct path) n_files from match_rows group by root_folder""")
