@@ -10,7 +10,8 @@ windows have equal anchors at equal places, so
 2. units equal in anchor, place and content are grouped by digest; a group with two documents is
    shared as a whole (the earliest occurrence stands for the group from here on);
 3. where an anchor has several different units (the edges of a shared stretch), the windows of one
-   representative of each are hashed and grouped one by one;
+   representative of each are hashed and compared: by anchor, or each as a group of its own where an
+   anchor has very many units;
 4. the ranges of shared windows go back to every occurrence, with its own offsets, and are merged.
 
 No pairs are formed, and a group of copies costs one row for each unit and map task.
@@ -32,6 +33,8 @@ from ..plans.scratch import discard, materialize
 MIN_CHARS = 200
 #: Length of the k-grams that serve as anchors.
 ANCHOR_CHARS = 100
+#: Different units of one anchor whose windows one task compares; those of anchors with more are spread over all.
+FEW_UNITS = 1000
 #: Characters that are hashed at once; longer texts are cut into overlapping blocks.
 BLOCK = 1 << 20
 
@@ -162,7 +165,7 @@ def _find_windows(t: int):
     return run
 
 
-def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, anchor_chars: int = ANCHOR_CHARS) -> DataFrame:
+def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, anchor_chars: int = ANCHOR_CHARS, few_units: int = FEW_UNITS) -> DataFrame:
     """``(doc_id, span_start, span_end)``: the maximal stretches of shared characters of every text.
 
     A character is shared if it lies in a run of at least ``min_chars`` characters that also occurs in the
@@ -182,19 +185,38 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, anchor_chars: int
     groups = materialize(groups, "unit-groups")
     whole = groups.filter("mn < mx").select("ah", "sh", F.expr("array(named_struct('lo', 0L, 'hi', rep.b - rep.a))").alias("ranges"))
 
-    mixed = groups.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
-    edges = groups.join(mixed, "ah", "left_semi").select("ah", "sh", "mn", "mx", "rep.*")
+    mixed = materialize(groups.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1"), "mixed-anchors")
+    edges = lambda anchors: groups.join(anchors.select("ah"), "ah", "left_semi").select("ah", "sh", "mn", "mx", "rep.*")
+    part = _windows_by_anchor(_hash_windows(docs, edges(mixed.filter(F.col("n") <= few_units)), t))
+    hot = mixed.filter(F.col("n") > few_units)
+    if not hot.isEmpty():
+        part = part.unionByName(_windows_one_by_one(_hash_windows(docs, edges(hot), t)))
+    ranges = whole.unionByName(_ranges(part))
+    spans = shared.join(ranges, ["ah", "sh"]).select("doc_id", "a", F.inline("ranges"))
+    spans = spans.select("doc_id", (F.col("a") + F.col("lo")).alias("s"), (F.col("a") + F.col("hi") + t).alias("e"))
+    return merge_ranges(spans)
+
+
+def _hash_windows(docs: DataFrame, edges: DataFrame, t: int) -> DataFrame:
+    """The hash of every window of the units in ``edges``, from the texts of their documents."""
     by_doc = edges.groupBy("doc_id").agg(F.collect_list(F.struct("ah", "sh", "mn", "mx", "a", "b")).alias("units"))
     at = docs.filter(F.length("text") >= t).join(by_doc, "doc_id").select("text", "units")
-    windows = at.mapInArrow(_find_windows(t), "ah bigint, sh bigint, off int, wh bigint, mn bigint, mx bigint")
+    return at.mapInArrow(_find_windows(t), "ah bigint, sh bigint, off int, wh bigint, mn bigint, mx bigint")
+
+
+def _windows_by_anchor(windows: DataFrame) -> DataFrame:
+    """``(ah, sh, offs)``: shared windows of units not shared as a whole; all units of an anchor in one task (few of them)."""
+    same = Window.partitionBy("ah", "wh")
+    both = windows.repartition("ah").withColumns({"first": F.min("mn").over(same), "last": F.max("mx").over(same)})
+    return both.filter("mn = mx and first < last").groupBy("ah", "sh").agg(F.collect_set("off").alias("offs"))
+
+
+def _windows_one_by_one(windows: DataFrame) -> DataFrame:
+    """The same for anchors with many units: every window is a group of its own, with counts taken on the map side."""
     windows = materialize(windows, "edge-windows")
     hit = windows.groupBy("ah", "wh").agg(F.min("mn").alias("mn"), F.max("mx").alias("mx")).filter("mn < mx").select("ah", "wh")
     # at most min_chars offsets for each unit
-    part = windows.filter("mn = mx").join(hit, ["ah", "wh"], "left_semi").groupBy("ah", "sh").agg(F.collect_set("off").alias("offs"))
-    ranges = whole.unionByName(_ranges(part))
-    spans = shared.join(ranges, ["ah", "sh"]).select("doc_id", "a", F.inline("ranges"))
-    spans = spans.select("doc_id", (F.col("a") + F.col("lo")).alias("s"), (F.col("a") + F.col("hi") + t).alias("e"))
-    return merge_ranges(spans)
+    return windows.filter("mn = mx").join(hit, ["ah", "wh"], "left_semi").groupBy("ah", "sh").agg(F.collect_set("off").alias("offs"))
 
 
 def _ranges(part: DataFrame) -> DataFrame:

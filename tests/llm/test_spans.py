@@ -28,9 +28,9 @@ def brute(docs, t):
     return out
 
 
-def run(spark, docs, t, k):
+def run(spark, docs, t, k, few=1000):
     df = spark.createDataFrame([(i, x, "clash") for i, x in docs], "doc_id bigint, text string, a string").repartition(3)
-    return {tuple(r) for r in sp.shared_spans(df, t, k).collect()}
+    return {tuple(r) for r in sp.shared_spans(df, t, k, few).collect()}
 
 
 def corpus(seed, n):
@@ -46,7 +46,9 @@ def corpus(seed, n):
 @pytest.mark.parametrize("seed,t,k", [(1, 20, 10), (2, 20, 20), (3, 35, 7), (4, 50, 30)])
 def test_against_every_window(spark, seed, t, k):
     docs = corpus(seed, 60)
-    assert run(spark, docs, t, k) == brute(docs, t)
+    expected = brute(docs, t)
+    for few in (1000, 3, 0):
+        assert run(spark, docs, t, k, few) == expected
 
 
 def test_edges(spark):
