@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..plans.compile import all_hits, base_score, compile_query, hit_count, snippet, window_at
-from ..plans.scratch import materialize
+from ..plans.scratch import fixed_columns, materialize
 from ..query.parser import Query, is_wildcard
 
 
@@ -21,7 +21,7 @@ def prepare_units(df: DataFrame, accent_fold: bool = True, stemming: bool = True
     default = {"unit_ord": F.lit(0), "location": F.lit("1"), "unit_kind": F.lit("file"), "root_folder": F.lit(None).cast("string")}
     cols = [F.col(c) if c in df.columns else default[c].alias(c) for c in ("path", "unit_ord", "location", "unit_kind", "root_folder")]
     out = df.select(*cols, T.clean_extracted(F.coalesce("text", F.lit("")), accent_fold).alias("text"))
-    out = out.withColumn("norm", T.fold("text", accent_fold)).withColumn("tokens", T.tokenize("norm"))
+    out = fixed_columns(out.withColumn("norm", T.fold("text", accent_fold)), tokens=T.tokenize("norm"))
     return out.withColumn("stems", T.stems("tokens")) if stemming else out
 
 
@@ -34,7 +34,8 @@ def search_units(units: DataFrame, query: Query | str, context_size: int = 150,
     q = Query(query) if isinstance(query, str) else query
     plan = compile_query(q, strict_near)
     keep = ["path", "unit_ord", "location", "unit_kind", "root_folder"]
-    leaves = units.select(*keep, "text", "norm", "tokens", *[c.alias(n) for n, c in plan.leaves.items()])
+    cols = [*keep, "text", "norm", "tokens", *(["stems"] if q.stemming else [])]
+    leaves = fixed_columns(units.select(*cols), **plan.leaves) if plan.leaves else units.select(*cols)
     found = leaves.filter(plan.matched).withColumn("relevance_score", base_score(plan.occurrences, F.col("tokens")))
     found = found.withColumns({"query": F.lit(q.original), "hits": hit_count(q)})
     out = [*keep, "query", "relevance_score", "context", "hits"]

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
 _hooked = False
@@ -65,6 +66,16 @@ def _sweep() -> None:
         pass
 
 
+def fixed_columns(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once for each row, whatever is asked of them later.
+
+    Catalyst moves filters below a projection and writes a column's expression in the place of its name, also
+    inside lambdas, where it would run again for each element. It moves nothing through a generator.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that nothing will read again."""
     path = df.__dict__.pop("scratch_path", None)

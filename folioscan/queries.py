@@ -220,10 +220,10 @@ _boolean("unbalanced", "(pump AND valve", f"{_n('pump')} > 0 and {_n('valve')} >
 
 
 @query(f"""with recursive {S.UNITS}, v as (select distinct unnest(tk) t from u), {S.STEMS},
-w as (select doc_id, unnest(tk) t from u), h as (select doc_id, count(*) n from w join stems using (t) where t = 'valves' or stem = '{words.stem("valves")}' group by doc_id)
+w as (select doc_id, unnest(tk) t from u), h as (select doc_id, count(*) n from w join stems using (t) where t = 'pumps' or stem = '{words.stem("pumps")}' group by doc_id)
 select doc_id, {S.score("n")} relevance_score from u join h using (doc_id)""")
 def term_stem(spark, d):
-    return _scored(spark, d, "valves", True)
+    return _scored(spark, d, "pumps", True)
 
 
 @query(f"with {S.UNITS} select doc_id, {_n('pump')} hits from u where {_n('pump')} > 0")
