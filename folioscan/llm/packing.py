@@ -9,8 +9,6 @@ shard leaves badly filled are opened again and their items packed together in a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -25,5 +25,5 @@ def term_file_counts(postings: DataFrame) -> DataFrame:
     Rows equal in (term, path, unit_ord) count once; where they differ in positions, the longer list counts.
     One shuffle, by (term, path): it serves both groupings, and neither a hot term nor a hot file ends in one task.
     """
-    rows = counted(postings).groupBy("term", "path", "unit_ord").agg(F.max("n").alias("n"))
+    rows = counted(postings).repartition("term", "path").groupBy("term", "path", "unit_ord").agg(F.max("n").alias("n"))
     return rows.groupBy("term", "path").agg(F.sum("n").alias("tf"))
