@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..plans.compile import all_hits, base_score, compile_query, hit_count, snippet, window_at
-from ..plans.scratch import fixed_columns, materialize
-from ..query.parser import Query, is_wildcard
+from ..plans.scratch import fixed_columns, materialize, spread
+from ..query.parser import Query
 
 
 def prepare_units(df: DataFrame, accent_fold: bool = True, stemming: bool = True) -> DataFrame:
@@ -20,7 +20,8 @@ def prepare_units(df: DataFrame, accent_fold: bool = True, stemming: bool = True
     """
     default = {"unit_ord": F.lit(0), "location": F.lit("1"), "unit_kind": F.lit("file"), "root_folder": F.lit(None).cast("string")}
     cols = [F.col(c) if c in df.columns else default[c].alias(c) for c in ("path", "unit_ord", "location", "unit_kind", "root_folder")]
-    out = df.select(*cols, T.clean_extracted(F.coalesce("text", F.lit("")), accent_fold).alias("text"))
+    raw = spread(df.select(*cols, F.coalesce("text", F.lit("")).alias("text")))
+    out = raw.withColumn("text", T.clean_extracted("text", accent_fold))
     out = fixed_columns(out.withColumn("norm", T.fold("text", accent_fold)), tokens=T.tokenize("norm"))
     return out.withColumn("stems", T.stems("tokens")) if stemming else out
 
@@ -169,6 +170,3 @@ def assign_chunks(matches: DataFrame, size: int) -> DataFrame:
     rows = number_rows(matches, result_order(), "_row")
     return rows.withColumn("part", F.floor((F.col("_row") - 1) / size).cast("bigint") + 1).drop("_row")
 
-
-def wildcard_terms(query: Query) -> list[str]:
-    return [t.core for t in query.terms if is_wildcard(t.core)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EDGE, SPACE, W
 from ..functions.words import stem
-from ..query.parser import Node, Op, Query, Term, is_wildcard
+from ..query.parser import Node, Query, Term, is_wildcard
 
 SPANS = "array<struct<s:int,e:int>>"
 

@@ -76,6 +76,19 @@ def fixed_columns(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table evenly over all cores; a larger one fills them by itself.
+
+    A file of one row group is one task, however long its texts take. Small is less than one scan partition for each core,
+    by the optimizer's estimate of the size.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = cores * int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if cores > 1 and size < limit else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that nothing will read again."""
     path = df.__dict__.pop("scratch_path", None)

@@ -12,7 +12,7 @@ from .functions import text as T
 from .functions import words
 from .operators import index, ledger, pages, search
 from .plans import planning
-from .plans.scratch import materialize, new_path
+from .plans.scratch import materialize, new_path, spread
 from .query.parser import Query
 from .sources import discovery, formats, reading
 from .streaming import upsert
@@ -59,7 +59,7 @@ def p3_states(spark, d):
 # Text functions over whole documents
 
 def _texts(spark, d):
-    return read(spark, d, "documents").filter("text is not null")
+    return spread(read(spark, d, "documents").filter("text is not null").select("doc_id", "text"))
 
 
 @query(f"select doc_id, {S.clean('text')} clean, {S.fold('text')} folded from documents where text is not null")

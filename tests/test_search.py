@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.operators import index, search
-from folioscan.query.parser import Query
 
 DOCS = [
     ("/r/a.txt", 0, "/r", "The pump feeds the valve. Pump and valves."), ("/r/b.txt", 0, "/r", "A valve alone, état des vannes"), ("/r/c.txt", 0, "/r", "nothing here"), ("/r/d.txt", 0, "/r", None),
