@@ -12,6 +12,7 @@ from .functions.text import clean_extracted
 from .operators import index, search
 from .plans.scratch import materialize
 from .query.parser import Query
+from .shipping import ship
 from .sources import discovery, reading
 
 DEFAULT_TYPES = ("txt", "md", "csv", "docx", "html", "excel", "pdf", "image", "json", "ttl", "ebook")
@@ -40,6 +41,7 @@ def search_files(
     With ``use_index`` postings are built from the same units and narrow them first; the result is the same. It pays
     where one set of units serves many queries (see :mod:`.operators.index` for stored postings).
     """
+    ship(spark)
     q = Query(query, accent_fold, use_stemming)
     roots = [directories] if isinstance(directories, str) else list(directories)
     files = discovery.scan(spark, roots, types, include_subfolders)
@@ -58,6 +60,7 @@ def search_files(
 
 def write_index(spark: SparkSession, directories: Iterable[str], folder: str, types: Iterable[str] = DEFAULT_TYPES, use_stemming: bool = True, accent_fold: bool = True) -> DataFrame:
     """Build and store the postings of folders, under a name that tells their flags; returns their statistics."""
+    ship(spark)
     files = discovery.scan(spark, directories, types)
     units = search.prepare_units(reading.read_units(files).filter("text is not null"), accent_fold, use_stemming)
     at = f"{folder.rstrip('/')}/fold={int(accent_fold)}-stem={int(use_stemming)}"
