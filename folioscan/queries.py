@@ -74,6 +74,12 @@ def display_text(spark, d):
     return rows.select("doc_id", T.clean_display("text").alias("shown"))
 
 
+@query()
+def display_text_whole(spark, d):
+    """All texts for showing, also those with broken words, soft hyphens or runs of blank lines that the SQL of display_text leaves out."""
+    return _texts(spark, d).select("doc_id", T.clean_display("text").alias("shown"))
+
+
 @query(f"select doc_id, len({S.tokens(S.fold('text'))}) n_tokens from documents where text is not null")
 def tokenize_counts(spark, d):
     return _texts(spark, d).select("doc_id", F.size(T.tokenize(T.fold("text"))).cast("bigint").alias("n_tokens"))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import text as T
 from folioscan.functions import words
+from folioscan.queries import QUERIES
 
 
 def one(spark, value, column, kind="string"):
@@ -43,3 +44,13 @@ def test_quality(spark):
     good = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(30))
     assert not one(spark, good, T.is_garbage("x")) and not one(spark, good, T.is_poor("x"))
     assert one(spark, "", F.round(T.page_score("x"), 3)) == 0
+
+
+def test_display_of_all_texts(spark, tmp_path):
+    texts = {
+        1: "spec-\ntral line", 2: "spec- \r\n  tral", 3: "co\u00ad\n  operate co\u00adop", 4: "a.\n\n\n\nb", 5: "a \t b\r\n\r\n\r\nc", 6: "-\nitem", 7: "caf\u0065\u0301 x\u200b\u00ady-\nz\n\n\n", 8: "plain", 9: "",
+        10: None,
+    }
+    shown = {1: "spectral line", 2: "spectral", 3: "cooperate coop", 4: "a.\n\nb", 5: "a b\n\nc", 6: "-\nitem", 7: "café xyz", 8: "plain", 9: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.shown for r in QUERIES["display_text_whole"](spark, str(tmp_path)).collect()} == shown
