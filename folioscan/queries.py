@@ -435,6 +435,12 @@ def csv_cells_rows(spark, d):
     return reading.units_of_texts(texts, formats.csv_units).select("doc_id", "location", "text")
 
 
+@query()
+def csv_cells_rows_whole(spark, d):
+    """Cells and rows of all CSV texts, also of those with quotes, which the SQL of csv_cells_rows can't split."""
+    return reading.units_of_texts(_of_type(spark, d, "csv"), formats.csv_units).select("doc_id", "location", "text")
+
+
 @query()
 def markdown_blocks(spark, d):
     return reading.units_of_texts(_of_type(spark, d, "md"), lambda t: [(str(i), "block", b) for i, b in enumerate(formats.markdown_blocks(t), 1)])

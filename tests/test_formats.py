@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 
+from folioscan.queries import QUERIES
 from folioscan.sources import formats as f
 from folioscan.sources import reading
 
@@ -31,6 +32,26 @@ def test_csv():
     assert broken[0] == ("R1:C1", "cell", "ok") and broken[-1][:2] == ("1", "file")
 
 
+def test_csv_of_all_texts(spark, tmp_path):
+    """Against cells that are written out by hand, with every way of quoting."""
+    rows = {
+        1: [["name", "note"], ["a, b", 'say "hi"'], ["two\nlines", ""], ["", " x "]],
+        2: [["p;q", "1"], ["r", 's"t'], ["", ""], ["u\r\nv", "w"]],
+        3: [["plain", "c d"]],
+    }
+    text = lambda d, table: "\r\n".join(d.join('"' + v.replace('"', '""') + '"' for v in r) for r in table)
+    texts = [(1, "csv", text(",", rows[1])), (2, "CSV", text("\t", rows[2])), (3, "csv", "plain|c d"), (4, "csv", None), (5, "txt", '"a",b')]
+    want = set()
+    for i, table in rows.items():
+        for r, cells in enumerate(table, 1):
+            want |= {(i, f"R{r}:C{c}", v.strip()) for c, v in enumerate(cells, 1) if v.strip()}
+            if any(cells):
+                want.add((i, f"R{r}", " | ".join(v.strip() for v in cells if v.strip())))
+    spark.createDataFrame(texts, "doc_id bigint, ext string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(x) for x in QUERIES["csv_cells_rows_whole"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_json():
     assert f.json_text('{"a": {"b": [1, true, null, " x "]}, "c": ""}') == "a\nb\n1\nTrue\nx\nc"
     assert f.json_text("{bad") == "{bad"
