@@ -475,6 +475,12 @@ def turtle_text(spark, d):
     return reading.units_of_texts(rows, lambda t: [("1", "file", formats.turtle_text(t))]).select("doc_id", F.regexp_replace("text", "\r", "").alias("text"))
 
 
+@query()
+def turtle_text_whole(spark, d):
+    """All texts of ttl and nt, also those with line ends that the SQL of turtle_text doesn't split at."""
+    return reading.units_of_texts(_of_type(spark, d, "ttl", "nt"), lambda t: [("1", "file", formats.turtle_text(t))]).select("doc_id", "text")
+
+
 @query("""with r as (select n_nationkey, [n_nationkey::varchar, n_name, n_regionkey::varchar] c from nation)
 select n_nationkey, 'C' || i "location", 'cell' unit_kind, c[i] text from r, unnest([1, 2, 3]) t(i) union all select n_nationkey, 'R', 'row', c[1] || ' | ' || c[2] || ' | ' || c[3] from r""")
 def table_cells_rows(spark, d):

@@ -65,6 +65,14 @@ def test_rdf():
     assert f.read_rdf_xml(xml)[0][2] == "text\ntail\nseen" and f.read_rdf_xml(b"<bad")[0][2] == "<bad"
 
 
+def test_turtle_of_all_texts(spark, tmp_path):
+    texts = {1: "a b c .\n# note\nd e f .\n", 2: "a\x0b# note\x0cb\x1c#\x1dc\x1ed", 3: "a\u2028 # note\u2029b\x85#x", 4: "a\r\n#x\rb", 5: "/* x\ny */a # b\n", 6: ""}
+    rows = [(i, "NT" if i % 2 else "ttl", t) for i, t in texts.items()] + [(7, "ttl", None), (8, "txt", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, ext string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in QUERIES["turtle_text_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "a b c .\nd e f .", 2: "a\nb\nc\nd", 3: "a\nb", 4: "a\nb", 5: " a # b", 6: ""}
+
+
 def test_html():
     page = "<html><head><title>t</title></head><body><!-- c --><h1>Head</h1>lost<main><p>in <b>main</b><div>next</div></main><script>'</p>'</script><table><tr><td>a</td><th>b</th></tr><tr><td></td></tr></table><ul><li>one<li>two-part</ul><p>Head</p><p>x <img src='i/flat.gif'></body></html>"
     assert f.html_blocks(page) == ["Head", "a | b", "Head", "x ♭", "in main", "next", "one", "two-part"]
