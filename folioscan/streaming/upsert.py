@@ -2,7 +2,8 @@
 
 The index is a row of segments, one for each micro-batch, with a manifest of which paths each holds. A
 path's newest segment wins, so an update writes only what changed and a reader needs one join with the
-manifest. A batch that is run again writes the same folders again.
+manifest. Segments are numbered in the order in which their batches begin, over all streams and checkpoints
+that feed the index. A batch that is run again writes the same folders again.
 """
 
 from __future__ import annotations
@@ -36,11 +37,50 @@ def current_postings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(current_paths(spark, folder), ["path", "batch"], "left_semi").drop("batch")
 
 
+def segment_number(spark: SparkSession, folder: str, checkpoint: str, batch_id: int) -> int:
+    """The segment of a micro-batch: what its checkpoint has on record for it, else the next free number of the index.
+
+    A number is claimed by creating a marker file, which succeeds for one stream only.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def at(path: str):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf), p
+
+    def names(path: str) -> list[str]:
+        fs, p = at(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    # one marker for each batch, its number in the name, so that none is ever half written
+    records = f"{checkpoint.rstrip('/')}/segments"
+    known = [n.split("-") for n in names(records) if not n.startswith(".")]
+    for batch, number in known:
+        if int(batch) == batch_id:
+            return int(number)
+    taken = [int(n) for n in names(f"{folder}/segments") if n.isdigit()]
+    taken += [int(n.removeprefix("batch=")) for part in ("postings", "manifest") for n in names(f"{folder}/{part}") if n.startswith("batch=")]
+    number = max(taken, default=-1) + 1
+    while True:
+        fs, p = at(f"{folder}/segments/{number}")
+        try:
+            fs.create(p, False).close()
+            break
+        except Exception:
+            if not fs.exists(p):
+                raise
+            number += 1
+    fs, p = at(f"{records}/{batch_id}-{number}")
+    fs.create(p, False).close()
+    return number
+
+
 def index_stream(stream: DataFrame, folder: str, checkpoint: str, stemming: bool = True):
     """Start indexing a stream; runs until all that is there is done (``availableNow``)."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        write_segment(batch, batch_id, folder, stemming)
+        write_segment(batch, segment_number(batch.sparkSession, folder, checkpoint, batch_id), folder, stemming)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,5 +1,6 @@
 import csv
 import zipfile
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -90,3 +91,21 @@ def test_upsert(spark, tmp_path):
     assert [t for t in terms if t[0] in ("old", "new", "kept")] == [("kept", "b"), ("new", "a")]
     upsert.compact(spark, at, str(tmp_path / "ix2"))
     assert sorted((r.term, r.path) for r in upsert.current_postings(spark, str(tmp_path / "ix2")).collect()) == terms
+
+
+def test_streams_of_one_index(spark, tmp_path):
+    """Two runs over other files, each with a checkpoint of its own; then the first goes on."""
+    at, schema = str(tmp_path / "ix"), "path string, unit_ord int, root_folder string, modified timestamp, text string"
+
+    def deliver(run, path, text):
+        source = str(tmp_path / f"in-{run}")
+        spark.createDataFrame([(path, 0, "r", datetime(2026, 1, 1), text)], schema).coalesce(1).write.mode("append").parquet(source)
+        upsert.index_stream(spark.readStream.schema(schema).parquet(source), at, f"{at}/checkpoint-{run}").awaitTermination()
+        return sorted((r.path, r.term) for r in upsert.current_postings(spark, at).collect())
+
+    assert deliver(1, "a", "old") == [("a", "old")]
+    assert deliver(2, "b", "new") == [("a", "old"), ("b", "new")]
+    assert deliver(2, "a", "mid") == [("a", "mid"), ("b", "new")]
+    assert deliver(1, "a", "last") == [("a", "last"), ("b", "new")]
+    assert sorted(r.batch for r in spark.read.parquet(f"{at}/manifest").collect()) == [0, 1, 2, 3]
+    assert [upsert.segment_number(spark, at, f"{at}/checkpoint-{run}", batch) for run, batch in ((1, 0), (2, 0), (2, 1), (1, 1), (1, 1))] == [0, 1, 2, 3, 3]
