@@ -3,8 +3,9 @@
 Look-alike classes are found by union-find over strings and code points: the full-width, joined and
 mathematical forms with what they stand for, base letters with separate accents with the composed
 letters, the kinds of blanks, the invisible characters with the empty string, and letters of Latin,
-Greek and Cyrillic that share their shape. A class has one representative for each script, its
-member that is most frequent in the collection. Texts are rewritten by an automaton that finds all
+Greek and Cyrillic that share their shape. Blanks, invisible characters, forms and accents have fixed
+representatives (the plain blank, nothing, NFKC, NFC); shared letters have one for each script, the
+most frequent in the collection where a script has several. Texts are rewritten by an automaton that finds all
 other members at once, the longest first; letters of a shape shared between scripts are rewritten only
 in words whose script the other letters of the word, or the words around it, tell.
 """
@@ -206,7 +207,7 @@ class Rewriter:
 
 
 def choose(classes: Iterable[list[str]], frequency: dict[str, int]) -> Rewriter:
-    """Representatives by frequency in the collection (ties: the shorter, then the lesser string)."""
+    """Fixed representatives, and of several letters of one shape and script the most frequent (ties: the shorter, then the lesser string)."""
     plain: dict[str, str] = {}
     letters: dict[str, dict[str, str]] = {s: {} for s in SCRIPTS}
     best = lambda xs: min(xs, key=lambda x: (-frequency.get(x, 0), len(x), x))
@@ -246,7 +247,7 @@ def choose(classes: Iterable[list[str]], frequency: dict[str, int]) -> Rewriter:
 
 
 def code_point_counts(rows: DataFrame, fields: tuple[str, ...]) -> dict[str, int]:
-    """How often each member of a class occurs in all rows; only that fixed set of strings comes to the driver."""
+    """How often each member of a class that is a single code point occurs in all rows; only that fixed set of strings comes to the driver."""
     letters = sorted({x for c in find_classes() for x in c if len(x) == 1})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
