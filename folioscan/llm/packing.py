@@ -4,7 +4,8 @@ Best-fit decreasing: items by falling size, each into the open container with th
 still takes it. The open containers hang on a segment tree over the remaining capacities, so finding
 the tightest one takes logarithmic time. The items are dealt into shards by a hash of their id; every
 shard is packed by one task, so no task sees more than a bounded number of items. Containers that a
-shard leaves badly filled are opened again and their items packed together in a second round.
+shard leaves badly filled are opened again and their items dealt and packed anew, round by round, until
+one shard takes all that is left or a round leaves as many items as it was given.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def _pack_shards(items: DataFrame, shards: int, round_no: int) -> DataFrame:
         names = pa.array([prefix + str(w) for w in where], pa.string())
         return table.drop_columns(["shard"]).append_column("container_id", names)
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_no), "doc_id", "piece"), F.lit(shards)))
     return dealt.groupBy("spec_id", "shard").applyInArrow(run, _ITEM + ", container_id string")
 
 
@@ -127,13 +128,20 @@ def pack_sizes(sizes: DataFrame, specs: DataFrame, n_items: int, shard_items: in
         return alone.select(out).unionByName(first.select(out))
     from ..plans.scratch import materialize
 
-    first = materialize(first, "packed")
-    filled = first.groupBy("container_id").agg(F.sum("n_tokens").alias("filled"), F.first("capacity").alias("cap"))
-    bad = filled.filter(F.col("filled") < F.col("cap") * repack_below).select("container_id")
-    rest = first.join(bad, "container_id", "left_semi").drop("container_id")
-    again = _pack_shards(rest, max(1, -(-rest.count() // shard_items)), 2)
-    kept = first.join(bad, "container_id", "left_anti")
-    return alone.select(out).unionByName(kept.select(out)).unionByName(again.select(out))
+    packed, round_no, left = alone.select(out), 1, None
+    while True:
+        last = materialize(first, "packed")
+        filled = last.groupBy("container_id").agg(F.sum("n_tokens").alias("filled"), F.first("capacity").alias("cap"))
+        bad = materialize(filled.filter(F.col("filled") < F.col("cap") * repack_below).select("container_id"), "bad")
+        rest = last.join(bad, "container_id", "left_semi").drop("container_id")
+        before, left = left, rest.count()
+        if before is not None and left >= before:
+            return packed.unionByName(last.select(out))
+        packed = packed.unionByName(last.join(bad, "container_id", "left_anti").select(out))
+        shards, round_no = max(1, -(-left // shard_items)), round_no + 1
+        first = _pack_shards(rest, shards, round_no)
+        if shards == 1:
+            return packed.unionByName(first.select(out))
 
 
 def pack_documents(docs: DataFrame, specs: DataFrame, rank_file: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:

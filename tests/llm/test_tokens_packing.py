@@ -85,3 +85,17 @@ def test_packing(spark, shard):
         assert len(filled) <= sum(filled.values()) / cap * 1.35 + 2
     assert {r.spec_id for r in rows} == {1, 2}
     assert packing.pack_sizes(df.limit(0), specs, 0).count() == 0 and packing.pack_sizes(df, specs.limit(0), 9).count() == 0
+
+
+def test_packing_round_by_round(spark):
+    """Badly filled containers are left only in the last round, where one shard takes them all."""
+    df = spark.range(1500).selectExpr("id doc_id", "pmod(xxhash64(id), 50) + 1 n_tokens")
+    specs = spark.createDataFrame([(1, 100)], "spec_id bigint, capacity_tokens bigint")
+    filled, items = {}, set()
+    for r in packing.pack_sizes(df, specs, 1500, 40).collect():
+        filled[r.container_id] = filled.get(r.container_id, 0) + r.n_tokens
+        items.add(r.doc_id)
+    of_round = lambda c: int(c.split("-")[1])
+    last = max(map(of_round, filled))
+    assert len(items) == 1500 and max(filled.values()) <= 100 and last > 2
+    assert all(n >= 98 for c, n in filled.items() if of_round(c) < last) and len({c.split("-")[2] for c in filled if of_round(c) == last}) == 1
