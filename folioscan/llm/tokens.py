@@ -36,15 +36,20 @@ def load_encoding(rank_file: str):
     return tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Where the pattern always cuts: before white space, and where letters, digits and signs change. Not between an
+#: apostrophe and a letter, which may be one token.
+_CUT = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+
+
 def safe_pieces(text: str, size: int = LONG_TEXT) -> Iterator[str]:
     """Cut ``text`` into pieces of about ``size`` characters at places where the pattern always cuts.
 
-    A single blank between two letters always starts a new match, and so does a digit after a letter.
-    Where no such place follows, the rest stays one piece; the ids are right in any case.
+    A longer run without such a place (letters only, one kind of sign, blanks) is one word to the tokenizer, whose
+    own merging takes it as a whole in any case; it stays one piece. The ids are right always.
     """
     import regex
 
-    cut = regex.compile(r"(?<=\p{L}) (?=\p{L})|(?<=\p{L})(?=\p{N})")
+    cut = regex.compile(_CUT)
     start = 0
     while len(text) - start > size:
         m = cut.search(text, start + size)

@@ -13,8 +13,8 @@ RANKS = f"{tokens.VOCAB_DIR}/{tokens.BYTE_BPE}"
 pytestmark = pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary files")
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from("ab é1 \n\t'sß中.-"), max_size=300))
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab é1٣² \n\t\u00a0'sreß中.-!\u0301"), max_size=300))
 def test_pieces_give_the_same_ids(text):
     enc = tokens.load_encoding(RANKS)
     whole = enc.encode_ordinary(text) if text else []
@@ -24,6 +24,14 @@ def test_pieces_give_the_same_ids(text):
         assert tokens.encode_text(enc, text, size) == whole
 
 
+def test_long_texts_without_blanks_are_cut():
+    enc = tokens.load_encoding(RANKS)
+    for text in ("中文，" * 30_000, "#1" * 40_000, "a\n" * 40_000, "中" * 60_000 + "!" * 60_000):
+        pieces = list(tokens.safe_pieces(text))
+        assert len(pieces) > 1 and "".join(pieces) == text and max(map(len, pieces)) < 70_000
+        assert tokens.encode_text(enc, text) == enc.encode_ordinary(text)
+
+
 def test_same_ids_as_the_other_library():
     tokenizers = pytest.importorskip("tokenizers")
     other = tokenizers.Tokenizer.from_file(f"{tokens.VOCAB_DIR}/byte_bpe_50k.json")
