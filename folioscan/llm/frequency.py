@@ -110,7 +110,10 @@ class _Spill:
 
 def _radix(base: str | None, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = base or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or os.getcwd()
+        # only the shared folder, or the folders Spark gives its executors; elsewhere a task may not spill
+        root = base or os.environ.get("SPARK_EXECUTOR_DIRS", "").split(":")[0] or os.environ.get("LOCAL_DIRS", "").split(",")[0] or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        if not root:
+            raise ValueError("no folder to spill to: spark.checkpoint.dir is no file path and Spark names no local folder")
         scratch = f"{root}/folioscan-radix-{uuid.uuid4().hex}"
         try:
             spill = _Spill(scratch, 0, limit)
