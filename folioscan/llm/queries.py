@@ -33,8 +33,14 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("path", "term", "tf", "df", "file_len", F.round("score", 6).alias("score"))
 
 
+def p2_beside(spark: SparkSession, d: str) -> DataFrame:
+    rows = distinctive.beside_relevance(_read(spark, d, "match_rows"), _read(spark, d, "postings"))
+    return rows.select("match_id", "relevance_score", "n_terms", F.round("distinct_score", 5).alias("distinct_score"))
+
+
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
-    return scans.restore_fields(_read(spark, d, "match_rows"), scans.fit_on(_read(spark, d, "documents")))
+    rows = _read(spark, d, "match_rows")
+    return scans.restore_fields(rows, scans.fit_on(_read(spark, d, "documents"), rows))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,18 +102,28 @@ def p9_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return spans.repeated_paragraphs(_read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_scores, p4_found, p4_restored, p5_found, p5_frequencies, p6_found, p6_unified, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_share, p9_paragraphs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_scores, p2_beside, p4_found, p4_restored, p5_found, p5_frequencies, p6_found, p6_unified, p7_ids, p7_roundtrip, p8_pack, p8_fill, p9_found, p9_share, p9_paragraphs)}
 
 _COUNTED = """unit as (select lower(trim(term)) term, path, unit_ord, max(len(positions)) n from postings
   where trim(term) <> '' and positions is not null and path is not null group by all),
 tf as (select term, path, sum(n)::bigint tf from unit group by all),
 df as (select term, count(*) df from tf group by term)"""
 
-_SCORES = f"""with {_COUNTED},
+_SCORED = f"""{_COUNTED},
 files as (select path, sum(tf)::bigint file_len from tf group by path),
-whole as (select count(*) n, avg(file_len) average from files)
-select path, term, tf, df, file_len, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * file_len / average)), 6) score
-from tf join df using (term) join files using (path), whole"""
+whole as (select count(*) n, avg(file_len) average from files),
+scored as (select path, term, tf, df, file_len, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * file_len / average)) score
+from tf join df using (term) join files using (path), whole)"""
+
+_SCORES = f"with {_SCORED} select path, term, tf, df, file_len, round(score, 6) score from scored"
+
+_WORDS = r"list_filter(list_distinct(regexp_extract_all(lower(coalesce(query, '')), '\p{L}+')), lambda w: w not in ('and', 'or', 'not', 'near'))"
+
+_BESIDE = f"""with {_SCORED},
+m as (select match_id, relevance_score, path, {_WORDS} words from match_rows),
+w as (select match_id, path, unnest(words) term from m),
+t as (select match_id, sum(score) x from w join scored using (path, term) group by match_id)
+select match_id, relevance_score, len(words) n_terms, round(coalesce(x, 0), 5) distinct_score from m left join t using (match_id)"""
 
 _FREQ = f"""with {_COUNTED},
 whole as (select count(distinct path) n from tf),
@@ -117,6 +133,7 @@ select term, occurrences, files, n n_files, case when files = 1 then 'rare' when
 SQL: dict[str, str] = {
     "p2_found": f"with {_COUNTED} select path, term from tf join df using (term) where tf >= 4 and df <= 5",
     "p2_scores": _SCORES,
+    "p2_beside": _BESIDE,
     "p5_found": f"select term, mark from ({_FREQ}) where mark is not null",
     "p5_frequencies": _FREQ,
     "p7_roundtrip": "select doc_id, coalesce(length(text), 0) n_chars, true same from documents",

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Texts are sampled in parts of this many characters, so that a sample is bounded however long they are.
+PART_CHARS = 3000
 
-def sample_texts(docs: DataFrame, rows: int, text_col: str = "text", chars: int = 3000) -> list[str]:
-    """Up to ``rows`` distinct non-blank texts, those with the least hash of their content, cut to ``chars`` for fitting only.
 
-    Only texts below a bound of the hash, set from the row count, leave their task, and copies of one text
-    once: about ``1.5 * rows`` of them in all, however large the table is.
+def sample_texts(docs: DataFrame, rows: int, text_col: str = "text", chars: int = PART_CHARS) -> list[str]:
+    """Up to ``rows`` distinct non-blank parts of texts, those with the least hash of their content, for fitting only.
+
+    Every text is cut into parts of ``chars`` characters, all of which may be drawn, from wherever in a text. Only
+    parts below a bound of the hash, set from their number, leave their task, and copies of one part once: about
+    ``1.5 * rows`` of them in all, however large the table is.
     """
-    share = min(1.0, 1.5 * rows / max(1, docs.count()))
-    h = F.xxhash64(text_col)
-    texts = docs.filter(F.col(text_col).isNotNull() & (F.trim(text_col) != ""))
+    n = F.floor((F.length(text_col) + (chars - 1)) / chars)
+    total = docs.agg(F.sum(n)).first()[0] or 0
+    share = min(1.0, 1.5 * rows / max(1, total))
+    starts = F.sequence(F.lit(0), F.length(text_col) - 1, F.lit(chars))
+    parts = F.transform(starts, lambda i: F.substring(F.col(text_col), i + 1, F.lit(chars)))
+    whole = F.when(F.length(text_col) <= chars, F.array(text_col)).otherwise(parts)
+    texts = docs.filter(F.length(text_col) > 0).select(F.explode(whole).alias("t")).filter(F.trim("t") != "")
+    hashed = texts.select(F.xxhash64("t").alias("h"), "t")
     if share < 1:
-        texts = texts.filter(h < int(-(2**63) + share * 2**64))
-    found = texts.select(h.alias("h"), F.substring(text_col, 1, chars).alias("t")).dropDuplicates(["h"]).orderBy("h", "t").limit(rows).collect()
+        hashed = hashed.filter(F.col("h") < int(-(2**63) + share * 2**64))
+    found = hashed.dropDuplicates(["h"]).orderBy("h", "t").limit(rows).collect()
     return list(dict.fromkeys(r.t for r in found))

@@ -64,3 +64,12 @@ def test_scores_and_frequencies(spark, seed, n):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert distinctive.term_scores(df).count() == 0 and frequency.term_frequencies(df).count() == 0
+
+
+def test_beside_relevance(spark):
+    postings = spark.createDataFrame([("pump", "a", 0, [1, 2]), ("valve", "a", 0, [3]), ("pump", "b", 0, [1])], "term string, path string, unit_ord int, positions array<int>")
+    rows = spark.createDataFrame([(1, 0.5, "a", "Pump AND valve pump"), (2, 0.1, "b", "valve"), (3, None, None, "pump"), (4, 0.2, "a", None), (5, 0.3, "zzz", "pump")], "match_id bigint, relevance_score double, path string, query string")
+    got = {r.match_id: (r.n_terms, round(r.distinct_score, 6)) for r in distinctive.beside_relevance(rows, postings).collect()}
+    scores = {(r.path, r.term): r.score for r in distinctive.term_scores(postings).collect()}
+    assert got == {1: (2, round(scores["a", "pump"] + scores["a", "valve"], 6)), 2: (1, 0.0), 3: (1, 0.0), 4: (0, 0.0), 5: (1, 0.0)}
+    assert distinctive.beside_relevance(rows.limit(0), postings).count() == 0 and {r.distinct_score for r in distinctive.beside_relevance(rows, postings.limit(0)).collect()} == {0.0}
