@@ -3,7 +3,7 @@
 Look-alike classes are found by union-find over strings and code points: the full-width, joined and
 mathematical forms with what they stand for, base letters with separate accents with the composed
 letters, the kinds of blanks, the invisible characters with the empty string, and letters of Latin,
-Greek and Cyrillic that share their shape. Blanks, invisible characters, forms and accents have fixed
+Greek, Cyrillic, Armenian and Cherokee that share their shape. Blanks, invisible characters, forms and accents have fixed
 representatives (the plain blank, nothing, NFKC, NFC); shared letters have one for each script, the
 most frequent in the collection where a script has several. Texts are rewritten by an automaton that finds all
 other members at once, the longest first; letters of a shape shared between scripts are rewritten only
@@ -25,19 +25,20 @@ from pyspark.sql import functions as F
 
 from .encoding import EncodingModel, Repairer
 
-#: Letters of one shape, as rows of Latin, Greek and Cyrillic ('.' where a script has none).
+#: Letters of one shape, as rows of Latin, Greek, Cyrillic, Armenian and Cherokee ('.' where a script has none).
 _SHAPES = """
-A Α А|B Β В|C . С|E Ε Е|H Η Н|I Ι І|J . Ј|K Κ К|M Μ М|N Ν .|O Ο О|P Ρ Р|S . Ѕ|T Τ Т|X Χ Х|Y Υ У|Z Ζ .|Y . Ү|W . Ԝ|Q . Ԛ|
-a α а|c ϲ с|d . ԁ|e . е|h . һ|i ι і|j ϳ ј|l . ӏ|o ο о|p ρ р|q . ԛ|s . ѕ|u υ .|v ν ѵ|w . ԝ|x . х|y . у|y γ .|k κ к
+A Α А . Ꭺ|B Β В . Ᏼ|C . С . Ꮯ|D . . . Ꭰ|E Ε Е . Ꭼ|G . . . Ꮐ|H Η Н . Ꮋ|I Ι І . .|J . Ј . Ꭻ|K Κ К . Ꮶ|L . . . Ꮮ|M Μ М . Ꮇ|N Ν . . .|O Ο О Օ .|P Ρ Р . Ꮲ|R . . . Ꭱ|
+S . Ѕ Տ Ꮪ|T Τ Т . Ꭲ|U . . Ս .|V . . . Ꮩ|W . Ԝ . Ꮃ|X Χ Х . .|Y Υ У . .|Y . Ү . .|Z Ζ . . Ꮓ|Q . Ԛ . .|
+a α а . .|c ϲ с . .|d . ԁ . .|e . е . .|g . . ց .|h . һ հ .|i ι і . .|j ϳ ј յ .|l . ӏ . .|n . . ո .|o ο о օ .|p ρ р . .|q . ԛ զ .|s . ѕ . .|u υ . ս .|v ν ѵ . .|w . ԝ . .|x . х . .|y . у . .|y γ . . .|k κ к . .
 """
 _BLANKS = [" ", "\u00a0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u202f", "\u205f", "\u3000"]
 _INVISIBLE = ["", "\u00ad", "\u180e", "\u200b", "\u200c", "\u200d", "\u200e", "\u200f", "\u2060", "\u2061", "\u2062", "\u2063", "\u2064", "\ufeff"]
-_COMPAT = [*map(chr, range(0xFF01, 0xFF5F)), *map(chr, range(0xFB00, 0xFB07)), *map(chr, range(0xFB13, 0xFB18)), "Ĳ", "ĳ", *map(chr, range(0x1C4, 0x1CD)), *map(chr, range(0x1F1, 0x1F4)), *map(chr, range(0x1D400, 0x1D800))]
-SCRIPTS = ("Latin", "Greek", "Cyrillic")
+_COMPAT = [*map(chr, range(0xFF01, 0xFF5F)), *"￠￡￢￤￥￦", *map(chr, range(0xFB00, 0xFB07)), *map(chr, range(0xFB13, 0xFB18)), "Ĳ", "ĳ", *map(chr, range(0x1C4, 0x1CD)), *map(chr, range(0x1F1, 0x1F4)), *map(chr, range(0x1D400, 0x1D800))]
+SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee")
 
-_CANDIDATE = r"[\u00a0\u00ad\u0300-\u036f\u0370-\u052f\u1100-\u11ff\u1680\u180e\u1f00-\u1fff\u2000-\u200f\u202f\u205f-\u2064\u3000\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\ufb00-\ufb17\ufeff\uff01-\uff5e]|[\x{1d400}-\x{1d7ff}]"
+_CANDIDATE = r"[\u00a0\u00ad\u0300-\u036f\u0370-\u058f\u1100-\u11ff\u13a0-\u13ff\u1680\u180e\u1f00-\u1fff\u2000-\u200f\u202f\u205f-\u2064\u3000\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\ufb00-\ufb17\ufeff\uff01-\uff5e\uffe0-\uffe2\uffe4-\uffe6]|[\x{1d400}-\x{1d7ff}]"
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
-_FOREIGN = re.compile(r"[\u0370-\u052f\u1f00-\u1fff]")
+_FOREIGN = re.compile(r"[\u0370-\u058f\u13a0-\u13ff\u1f00-\u1fff]")
 _SEPARATE = re.compile(r"[A-Za-z\u00c0-\u024f\u0370-\u052f\u1e00-\u1fff][\u0300-\u036f]")
 #: Scripts whose spelling needs joiners, and signs that are joined into one picture.
 _JOINING = re.compile("[\u0600-\u08ff\u0900-\u0dff\u200d\ufe0f\u2600-\u27bf\U0001f000-\U0001faff]")
@@ -49,7 +50,9 @@ def script_of(c: str) -> str | None:
         return "Latin" if c.isalpha() else None
     if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
         return "Greek"
-    return "Cyrillic" if 0x400 <= o < 0x530 else None
+    if 0x13A0 <= o < 0x1400:
+        return "Cherokee"
+    return "Cyrillic" if 0x400 <= o < 0x530 else "Armenian" if 0x530 <= o < 0x590 else None
 
 
 class UnionFind:
@@ -284,14 +287,17 @@ def unify_fields(rows: DataFrame, rewriter: Rewriter, garbled: EncodingModel | N
         for batch in batches:
             ids, names, all_kinds, texts = [], [], [], []
             for j, field in enumerate(fields, 1):
-                for i, v in enumerate(batch.column(j).to_pylist()):
-                    if v:
-                        out, kinds = rewriter.rewrite(v)
-                        if kinds and not (judge and judge.repair(v)[0]):
-                            ids.append(i)
-                            names.append(field)
-                            all_kinds.append(kinds)
-                            texts.append(out)
+                values = batch.column(j).to_pylist()
+                coded = [(i, *rewriter.rewrite(v)) for i, v in enumerate(values) if v]
+                coded = [x for x in coded if x[2]]
+                if judge:
+                    judge.prepare([values[i] for i, _, _ in coded])
+                for i, out, kinds in coded:
+                    if not (judge and judge.repair(values[i])[0]):
+                        ids.append(i)
+                        names.append(field)
+                        all_kinds.append(kinds)
+                        texts.append(out)
             yield pa.record_batch([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(all_kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[id_col, "field", "kinds", "unified"])
 
     cols = [F.when(F.col(f).rlike(_CANDIDATE), F.col(f)).alias(f) for f in fields]

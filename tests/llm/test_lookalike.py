@@ -18,10 +18,12 @@ def test_forms():
     assert PLAIN.rewrite("9311 ріесеѕ of pump") == ("9311 pieces of pump", ["letter"])
     assert PLAIN.rewrite("нoвый pump") == ("новый pump", ["letter"]) and PLAIN.rewrite("πρoσβαση") == ("προσβαση", ["letter"])
     assert PLAIN.rewrite("x́ y")[1] == ["accent"]
+    assert PLAIN.rewrite("օne of them") == ("one of them", ["letter"]) and PLAIN.rewrite("Ꭺpple") == ("Apple", ["letter"])
+    assert PLAIN.rewrite("￥5 ￠") == ("¥5 ¢", ["form"])
 
 
 def test_no_cases():
-    for text in ("Привет, а с ним и Pobes", "С 01.02 табличка", "άλφα ο βήτα", "2.ª nº 5 “x” – 17 °C …", "naïve café ß œ", "中文、。한글", "ascii", "", None, "ао", "½ ™ →"):
+    for text in ("Привет, а с ним и Pobes", "С 01.02 табличка", "άλφα ο βήτα", "2.ª nº 5 “x” – 17 °C …", "naïve café ß œ", "中文、。한글", "ascii", "", None, "ао", "½ ™ →", "Յովհաննես ու ո", "ᎠᎰᏊ ᎰᎢ"):
         assert kinds(text) == [], text
     assert PLAIN.rewrite("\U0001f469‍\U0001f527")[0] == "\U0001f469‍\U0001f527"  # without the joiner it would look different
     assert PLAIN.rewrite("한") == ("한", [])
