@@ -10,11 +10,12 @@ windows have equal anchors at equal places, so
 2. units equal in anchor, place and content are grouped by digest; a group with two documents is
    shared as a whole (the earliest occurrence stands for the group from here on);
 3. where an anchor has several different units (the edges of a shared stretch), the windows of one
-   representative of each are hashed and compared: by anchor, or each as a group of its own where an
-   anchor has very many units;
+   representative of each are hashed and compared: the texts of the few units of an anchor meet in one
+   task, and where an anchor has very many units, every window is a group of its own;
 4. the ranges of shared windows go back to every occurrence, with its own offsets, and are merged.
 
-No pairs are formed, and a group of copies costs one row for each unit and map task.
+No pairs are formed, and a group of copies costs one row for each unit and map task. Before units and texts
+are shuffled, a bitmap of fixed size drops most of those that no join would keep (:mod:`.bitmap`).
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.scratch import discard, materialize
+from .bitmap import likely_in
 
 MIN_CHARS = 200
 #: Length of the k-grams that serve as anchors.
-ANCHOR_CHARS = 100
+ANCHOR_CHARS = 64
 #: Different units of one anchor whose windows one task compares; those of anchors with more are spread over all.
 FEW_UNITS = 1000
 #: Characters that are hashed at once; longer texts are cut into overlapping blocks.
@@ -141,26 +143,95 @@ def _find_units(t: int, k: int):
     return run
 
 
+def _cut_units():
+    """The texts of units, from the texts of their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                units = [u for u in units if u["e"] <= len(text)]
+                column = lambda c: pa.array([u[c] for u in units], pa.int64())
+                yield pa.record_batch([column("ah"), column("sh"), column("mn"), column("mx"), pa.array([text[u["a"] : u["e"]] for u in units], pa.string())], names=["ah", "sh", "mn", "mx", "text"])
+
+    return run
+
+
+def _window_hashes(texts: list[str], t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts of at least ``t`` characters: number of the text and hash of every window."""
+    lens = np.array([len(x) for x in texts])
+    numbers, hashes, at = [], [], 0
+    while at < len(texts):  # as many at once as the powers reach
+        n = max(1, int(np.searchsorted(np.cumsum(lens[at:]), BLOCK, side="right")))
+        part = texts[at : at + n]
+        sums, total = prefix_sums("".join(part))
+        wh = gram_hashes(sums, total, t)
+        ends = np.cumsum(lens[at : at + n])
+        number = np.repeat(np.arange(n), lens[at : at + n])[: len(wh)]
+        inside = np.arange(len(wh)) + t <= ends[number]
+        numbers.append(number[inside] + at)
+        hashes.append(wh[inside])
+        at += n
+    return np.concatenate(numbers), np.concatenate(hashes)
+
+
 def _find_windows(t: int):
+    """Every window of units as a row, for anchors with very many units."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ah", "sh", "off", "wh", "mn", "mx"]
         for batch in batches:
-            for text, units in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts = []
-                for u in units.as_py():
-                    a, b = u["a"], u["b"]
-                    if b + t > len(text):
-                        continue
-                    sums, n = prefix_sums(text[a : b + t])
-                    wh = gram_hashes(sums, n, t)
-                    parts.append((u, wh))
-                if not parts:
-                    continue
-                reps = np.array([len(wh) for _, wh in parts])
-                col = lambda c: pa.array(np.repeat(np.array([u[c] for u, _ in parts], np.int64), reps))
-                off = np.concatenate([np.arange(r, dtype=np.int32) for r in reps])
-                wh = np.concatenate([w for _, w in parts]).view(np.int64)
-                yield pa.record_batch([col("ah"), col("sh"), pa.array(off), pa.array(wh), col("mn"), col("mx")], names=names)
+            if not batch.num_rows:
+                continue
+            number, wh = _window_hashes(batch.column(4).to_pylist(), t)
+            first = np.searchsorted(number, np.arange(batch.num_rows))
+            off = (np.arange(len(number)) - first[number]).astype(np.int32)
+            take = pa.array(number)
+            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(off), pa.array(wh.view(np.int64)), batch.column(2).take(take), batch.column(3).take(take)], names=["ah", "sh", "off", "wh", "mn", "mx"])
+
+    return run
+
+
+_RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+
+def _compare_units(t: int):
+    """Shared windows of units sorted by anchor, as ranges; an anchor's units lie together."""
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        ah, sh, mn, mx = (rows.column(i).to_numpy() for i in range(4))
+        number, wh = _window_hashes(rows.column(4).to_pylist(), t)
+        order = np.lexsort((wh, ah[number]))
+        own, h = number[order], wh[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (h[1:] != h[:-1]) | (ah[own[1:]] != ah[own[:-1]])
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        shared = np.minimum.reduceat(mn[own], starts) < np.maximum.reduceat(mx[own], starts)
+        hit = np.zeros(len(number), bool)
+        hit[order] = shared[group]
+        hit &= (mn == mx)[number]  # other units are shared as a whole already
+        begin = hit & np.concatenate([[True], ~hit[:-1] | (number[1:] != number[:-1])])
+        end = hit & np.concatenate([~hit[1:] | (number[1:] != number[:-1]), [True]])
+        first = np.searchsorted(number, np.arange(len(ah)))
+        lo, hi = np.flatnonzero(begin), np.flatnonzero(end)
+        owner = number[lo]
+        lists = np.searchsorted(owner, np.arange(len(ah) + 1)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(lo - first[owner], pa.int64()), pa.array(hi - first[owner], pa.int64())], ["lo", "hi"])
+        found = pa.record_batch([pa.array(ah), pa.array(sh), pa.ListArray.from_arrays(pa.array(lists), pairs).cast(_RANGES)], names=["ah", "sh", "ranges"])
+        return found.filter(pa.array(lists[1:] > lists[:-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept.append(batch)
+            anchors = batch.column(0).to_numpy()
+            last = int(np.flatnonzero(anchors != anchors[-1])[-1]) + 1 if anchors[0] != anchors[-1] else 0
+            if last:  # all but the last anchor's units are there
+                yield compare(pa.Table.from_batches([*kept[:-1], batch.slice(0, last)]))
+                kept = [batch.slice(last)]
+        if kept:
+            yield compare(pa.Table.from_batches(kept))
 
     return run
 
@@ -176,8 +247,8 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, anchor_chars: int
     t, k = min_chars, min(anchor_chars, min_chars)
     docs = docs.select("doc_id", "text")
     units = materialize(docs.mapInArrow(_find_units(t, k), "ah bigint, sh bigint, doc_id bigint, a bigint, b bigint"), "units")
-    anchors = units.groupBy("ah").agg(F.min("doc_id").alias("mn"), F.max("doc_id").alias("mx")).filter("mn < mx").select("ah")
-    shared = materialize(units.join(anchors, "ah", "left_semi"), "shared-units")
+    anchors = materialize(units.groupBy("ah").agg(F.min("doc_id").alias("mn"), F.max("doc_id").alias("mx")).filter("mn < mx").select("ah"), "shared-anchors")
+    shared = materialize(likely_in(units, "ah", anchors).join(anchors, "ah", "left_semi"), "shared-units")
     discard(units)
 
     earliest = F.min(F.struct("doc_id", "a", "b")).alias("rep")
@@ -186,29 +257,26 @@ def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, anchor_chars: int
     whole = groups.filter("mn < mx").select("ah", "sh", F.expr("array(named_struct('lo', 0L, 'hi', rep.b - rep.a))").alias("ranges"))
 
     mixed = materialize(groups.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1"), "mixed-anchors")
-    edges = lambda anchors: groups.join(anchors.select("ah"), "ah", "left_semi").select("ah", "sh", "mn", "mx", "rep.*")
-    part = _windows_by_anchor(_hash_windows(docs, edges(mixed.filter(F.col("n") <= few_units)), t))
-    hot = mixed.filter(F.col("n") > few_units)
-    if not hot.isEmpty():
-        part = part.unionByName(_windows_one_by_one(_hash_windows(docs, edges(hot), t)))
-    ranges = whole.unionByName(_ranges(part))
+    edges = groups.join(mixed, "ah").select("n", "ah", "sh", "mn", "mx", F.col("rep.doc_id").alias("doc_id"), F.col("rep.a").alias("a"), (F.col("rep.b") + t).alias("e"))
+    ranges = whole.unionByName(_windows_by_anchor(_edge_texts(docs, edges.filter(F.col("n") <= few_units), t), t))
+    if not mixed.filter(F.col("n") > few_units).isEmpty():
+        ranges = ranges.unionByName(_ranges(_windows_one_by_one(_edge_texts(docs, edges.filter(F.col("n") > few_units), t).mapInArrow(_find_windows(t), "ah bigint, sh bigint, off int, wh bigint, mn bigint, mx bigint"))))
     spans = shared.join(ranges, ["ah", "sh"]).select("doc_id", "a", F.inline("ranges"))
     spans = spans.select("doc_id", (F.col("a") + F.col("lo")).alias("s"), (F.col("a") + F.col("hi") + t).alias("e"))
     return merge_ranges(spans)
 
 
-def _hash_windows(docs: DataFrame, edges: DataFrame, t: int) -> DataFrame:
-    """The hash of every window of the units in ``edges``, from the texts of their documents."""
-    by_doc = edges.groupBy("doc_id").agg(F.collect_list(F.struct("ah", "sh", "mn", "mx", "a", "b")).alias("units"))
-    at = docs.filter(F.length("text") >= t).join(by_doc, "doc_id").select("text", "units")
-    return at.mapInArrow(_find_windows(t), "ah bigint, sh bigint, off int, wh bigint, mn bigint, mx bigint")
+def _edge_texts(docs: DataFrame, edges: DataFrame, t: int) -> DataFrame:
+    """``(ah, sh, mn, mx, text)``: the texts of the units in ``edges``; only documents that hold some are shuffled."""
+    by_doc = materialize(edges.groupBy("doc_id").agg(F.collect_list(F.struct("ah", "sh", "mn", "mx", "a", "e")).alias("units")), "edges")
+    long = docs.filter(F.length("text") >= t)
+    at = likely_in(long, "doc_id", by_doc.select("doc_id")).join(by_doc, "doc_id").select("text", "units")
+    return at.mapInArrow(_cut_units(), "ah bigint, sh bigint, mn bigint, mx bigint, text string")
 
 
-def _windows_by_anchor(windows: DataFrame) -> DataFrame:
-    """``(ah, sh, offs)``: shared windows of units not shared as a whole; all units of an anchor in one task (few of them)."""
-    same = Window.partitionBy("ah", "wh")
-    both = windows.repartition("ah").withColumns({"first": F.min("mn").over(same), "last": F.max("mx").over(same)})
-    return both.filter("mn = mx and first < last").groupBy("ah", "sh").agg(F.collect_set("off").alias("offs"))
+def _windows_by_anchor(texts: DataFrame, t: int) -> DataFrame:
+    """``(ah, sh, ranges)``: shared windows of units not shared as a whole; all units of an anchor in one task (few of them)."""
+    return texts.repartition("ah").sortWithinPartitions("ah").mapInArrow(_compare_units(t), "ah bigint, sh bigint, ranges array<struct<lo:bigint,hi:bigint>>")
 
 
 def _windows_one_by_one(windows: DataFrame) -> DataFrame:
