@@ -39,8 +39,8 @@ def p2_beside(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "match_rows")
-    return scans.restore_fields(rows, scans.fit_on(_read(spark, d, "documents"), rows))
+    rows, docs = _read(spark, d, "match_rows"), _read(spark, d, "documents")
+    return scans.restore_fields(rows, scans.fit_on(docs, rows), encoding.fit_on(docs))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
