@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -32,21 +35,49 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: White space of ASCII texts, as Python's patterns and strip see it.
+_ASCII_SPACE = r"[\t-\r\x1c-\x20]"
+_PLAIN = r"^[\x00-\x7f]*$"
+
+
+def _split(c: Column | str, plain: Callable[[Column], Column], other: Callable[[Column | str], Column]) -> Column:
+    """``plain`` in the JVM for ASCII texts, which are most; only the others go to Python. Null stays null."""
+    ascii_ = col(c).rlike(_PLAIN)
+    return F.when(ascii_, plain(col(c))).otherwise(other(F.when(~ascii_, col(c))))
+
+
 def fold(c: Column | str, accent_fold: bool = True) -> Column:
     """Compatibility forms unified, lower case and, by default, without accents. Null stays null."""
-    return _map_strings(lambda v: words.normalize(v, accent_fold))(col(c))
+    return _split(c, F.lower, _map_strings(lambda v: words.normalize(v, accent_fold)))
 
 
 def strip_accents(c: Column | str) -> Column:
-    return _map_strings(words.strip_accents)(col(c))
+    return _split(c, lambda x: x, _map_strings(words.strip_accents))
+
+
+def even(c: Column, word: str = "[A-Za-z0-9_]", space: str = _ASCII_SPACE) -> Column:
+    """Words broken at line ends joined, line ends and blanks evened, at most one blank line."""
+    joined = F.regexp_replace(c, rf"({word}+)-{space}*\n{space}*({word}+)", "$1$2")
+    lines = F.regexp_replace(joined, r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space of ASCII at both ends."""
+    return F.regexp_replace(c, rf"^{_ASCII_SPACE}+|{_ASCII_SPACE}+\z", "")
 
 
 def clean_extracted(c: Column | str, accent_fold: bool = True) -> Column:
-    return _map_strings(lambda v: words.clean_extracted(v, accent_fold))(col(c))
+    return _split(c, lambda x: trimmed(even(x)), _map_strings(lambda v: words.clean_extracted(v, accent_fold)))
 
 
 def clean_display(c: Column | str) -> Column:
-    return _map_strings(words.clean_display)(col(c))
+    return _split(c, lambda x: trimmed(even(x)), _map_strings(words.clean_display))
+
+
+def nfkc(c: Column | str) -> Column:
+    """Compatibility forms unified. Null stays null."""
+    return _split(c, lambda x: x, _map_strings(lambda v: unicodedata.normalize("NFKC", v)))
 
 
 def tokenize(folded: Column | str) -> Column:
@@ -55,12 +86,17 @@ def tokenize(folded: Column | str) -> Column:
 
 
 def stems(tokens: Column | str, suffixes: tuple[str, ...] = words.SUFFIXES) -> Column:
-    """The stem of each token; every worker remembers the words it has seen."""
+    """The stem of each token: of the distinct ones of a batch, each looked up once."""
 
-    def series(s: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else [words.stem(w, suffixes) for w in v] for v in s], index=s.index, dtype=object)
+    def of_batch(lists: pa.Array) -> pa.Array:
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        found = lists.flatten().dictionary_encode()
+        stemmed = pa.array([None if w is None else words.stem(w, suffixes) for w in found.dictionary.to_pylist()], pa.string())
+        sizes = lists.value_lengths().fill_null(0)
+        offsets = pa.array([0, *np.cumsum(sizes.to_numpy())], pa.int32())
+        return pa.ListArray.from_arrays(offsets, stemmed.take(found.indices), mask=lists.is_null())
 
-    return F.pandas_udf(series, ArrayType(StringType()))(col(tokens))
+    return F.arrow_udf(of_batch, ArrayType(StringType()))(col(tokens))
 
 
 def stem(word: Column | str, suffixes: tuple[str, ...] = words.SUFFIXES) -> Column:
@@ -83,12 +119,6 @@ def strip_tags(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(no_code, r"(?s)<[^>]+>", " "), r"\s+", " "))
 
 
-def strip_rdf_comments(c: Column | str) -> Column:
-    """Turtle-family text without block comments and comment lines."""
-    no_blocks = F.regexp_replace(col(c), r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(no_blocks, r"(?m)^[ \t]*#[^\n]*(?:\n|$)", "")
-
-
 def fingerprint(c: Column | str) -> Column:
     return F.md5(col(c))
 

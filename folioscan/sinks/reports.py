@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 import textwrap
-import unicodedata
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
+from ..functions.words import strip_accents
 from ..operators.search import assign_chunks, report_rows
-from ..query.parser import Query
+from ..query.parser import Query, Term
 
 COLUMNS = ["file_no", "filename", "directory", "full_path", "match_no", "score", "position", "query", "context"]
 #: Colours of highlighted terms, in turn.
@@ -37,29 +37,33 @@ def _ordered(rows: DataFrame) -> Iterator:
     return rows.select(*COLUMNS).orderBy("file_no", "match_no").toLocalIterator()
 
 
-def _pattern(term) -> re.Pattern:
-    inner = "".join(r"\s+" if c == " " and term.is_phrase else r"\w*" if c == "*" else r"\w" if c == "?" else re.escape(c) for c in term.core)
-    return re.compile(inner if term.is_phrase else rf"\b{inner}\b", re.I)
+def _words_of(term: Term) -> str:
+    """A term as a pattern over text without accents."""
+    pieces = {"*": r"\w*", "?": r"\w"} | ({" ": r"\s+"} if term.is_phrase else {})
+    inner = "".join(pieces.get(c) or re.escape(c) for c in term.core)
+    return inner if term.is_phrase else rf"(?<!\w){inner}(?!\w)"
 
 
 def highlight(context: str | None, query: str | None) -> str:
-    """The context as HTML with the query's terms marked, whatever their accents; where marks overlap, the earlier wins."""
-    if not context:
-        return ""
-    folded, origin = [], []
-    for i, c in enumerate(context):
-        for x in unicodedata.normalize("NFD", c):
-            if unicodedata.category(x) != "Mn":
-                folded.append(x)
-                origin.append(i)
-    flat = "".join(folded)
-    terms = list({t.raw.lower(): t for t in Query(query).terms if t.core}.values())
-    found = sorted((origin[m.start()], origin[m.end() - 1] + 1, k) for k, t in enumerate(terms) for m in _pattern(t).finditer(flat) if m.end() > m.start())
+    """The context as HTML with the query's terms marked, whatever their accents; where marks overlap, the earlier wins.
+
+    One pass with one pattern: a group for each term, so that the group that matched tells the colour.
+    """
+    context = context or ""
+    letters = [(strip_accents(c), i) for i, c in enumerate(context)]
+    flat = "".join(x for x, _ in letters)
+    origin = [i for x, i in letters for _ in x]
+    patterns = dict.fromkeys(_words_of(t) for t in Query(query).terms if t.core)
+    if not patterns:
+        return html.escape(context)
     out, at = [], 0
-    for s, e, k in found:
-        if s >= at:
-            out += [html.escape(context[at:s]), f'<mark style="background:{COLOURS[k % len(COLOURS)]}">{html.escape(context[s:e])}</mark>']
-            at = e
+    for m in re.finditer("|".join(f"({p})" for p in patterns), flat, re.I):
+        if m.group():
+            s, e = origin[m.start()], origin[m.end() - 1] + 1
+            if s >= at:
+                colour = COLOURS[(m.lastindex - 1) % len(COLOURS)]
+                out.append(f'{html.escape(context[at:s])}<mark style="background:{colour}">{html.escape(context[s:e])}</mark>')
+                at = e
     return "".join(out) + html.escape(context[at:])
 
 

@@ -10,17 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Folders that a search is asked to scan; they come from a person, not from data.
-MAX_ROOTS = 10_000
-
-
-def _root_list(roots: DataFrame) -> list[str]:
-    found = [r[0] for r in roots.filter("root_folder is not null").select("root_folder").distinct().limit(MAX_ROOTS + 1).collect()]
-    if len(found) > MAX_ROOTS:
-        raise ValueError(f"more than {MAX_ROOTS} roots")
-    return sorted(found)
-
-
 def files_under_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Each file once for each root it lies under (nested roots give it twice), with ``root_folder``; files under none are left out.
 

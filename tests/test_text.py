@@ -26,6 +26,19 @@ def test_columns_equal_words(spark):
         assert r.t == words.tokenize(words.normalize(t))
 
 
+def test_jvm_equals_python(spark):
+    """ASCII texts stay in the JVM; they come out as the others do."""
+    texts = ["spec-\ntral  x\r\n\n\n\ny\x1c", "a-\nb-\nc \t d\r", "A-\x1f\n B", "-\nitem\n\n\n", "é-\nb  c\n\n\n\nd", "  ", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for r in df.select("x", T.clean_extracted("x").alias("c"), T.clean_display("x").alias("d"), T.fold("x").alias("f")).collect():
+        if r.x is None:
+            assert r.c is None and r.d is None and r.f is None
+        else:
+            assert (r.c, r.d, r.f) == (words.clean_extracted(r.x), words.clean_display(r.x), words.normalize(r.x)), repr(r.x)
+    lists = spark.createDataFrame([(1, ["running", "cats", None]), (2, []), (3, None), (4, ["running"])], "k int, w array<string>")
+    assert {r.k: r.s for r in lists.select("k", T.stems("w").alias("s")).collect()} == {1: ["run", words.stem("cats"), None], 2: [], 3: None, 4: ["run"]}
+
+
 def test_small_functions(spark):
     assert one(spark, "/a/b/Book.FB2.ZIP", T.extension("x")) == ".fb2.zip" and one(spark, "/a.b/c", T.extension("x")) == ""
     assert one(spark, ".pdf", T.type_of("x")) == "pdf" and one(spark, ".exe", T.type_of("x")) is None
@@ -35,7 +48,6 @@ def test_small_functions(spark):
     assert one(spark, "a;b;c,d", T.delimiter_of("x")) == ";" and one(spark, "a,b;c", T.delimiter_of("x")) == "," and one(spark, None, T.delimiter_of("x")) == ","
     assert one(spark, "/x/a:b*", T.safe_name("x")) == "a_b_" and one(spark, "///", T.safe_name("x")) == "root" and one(spark, None, T.safe_name("x")) == "root"
     assert one(spark, "a<b & 'c'", T.html_escape("x")) == "a&lt;b &amp; &#x27;c&#x27;"
-    assert one(spark, "# c\nx\n/* y\nz */w", T.strip_rdf_comments("x")) == "x\nw"
     assert one(spark, ".csv", T.position_label("x")) == "Location"
 
 
