@@ -26,7 +26,9 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--keep-accents", action="store_true")
     p.add_argument("--all-occurrences", action="store_true")
     p.add_argument("--max-snippets", type=int, default=0)
-    p.add_argument("--use-index", action="store_true")
+    p.add_argument("--index", help="folder of a stored index, which is brought up to date and searched")
+    p.add_argument("--ocr", choices=("auto", "always", "never"), default="auto")
+    p.add_argument("--max-ocr-pages", type=int, default=150)
     p.add_argument("--per-folder", action="store_true", help="one part for each root folder")
     p.add_argument("--chunk", type=int, default=0, help="rows for each part")
     p.add_argument("--file-timeout", type=float, default=0)
@@ -39,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     types = {_ALIASES.get(t, t) for t in a.types.split(",") if t}
     found = search_files(
         spark, a.directories, a.query, types, include_subfolders=not a.no_subfolders, min_relevance=a.min_relevance, context_size=a.context_size, occurrence_mode="all" if a.all_occurrences else "page",
-        max_snippets=a.max_snippets, use_index=a.use_index, use_stemming=not a.no_stemming, accent_fold=not a.keep_accents, file_timeout=a.file_timeout,
+        max_snippets=a.max_snippets, index_folder=a.index, ocr_mode=a.ocr, max_ocr_pages=a.max_ocr_pages, use_stemming=not a.no_stemming, accent_fold=not a.keep_accents, file_timeout=a.file_timeout,
     )
     for w in found.warnings:
         print("warning:", w)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +20,37 @@ def build_postings(units: DataFrame, stemming: bool = True) -> DataFrame:
 
     A word stands under itself and, if that differs, its stem. Positions ascend, each once. Units without words give none.
     """
-    words = F.arrays_zip("tokens", "stems") if stemming else F.transform("tokens", lambda t: F.struct(t.alias("tokens"), t.alias("stems")))
-    rows = units.select("path", "unit_ord", "root_folder", F.posexplode(words).alias("pos", "w"))
-    keys = F.explode(F.array_distinct(F.array("w.tokens", "w.stems")))
-    rows = rows.select("path", "unit_ord", "root_folder", "pos", keys.alias("term"))
-    out = rows.groupBy("term", "path", "unit_ord", "root_folder").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
-    return out.select("term", "path", "unit_ord", "positions", "root_folder")
+    # a unit is one row, so its words are complete there: they are grouped batch by batch, without a shuffle
+    cols = ["path", "unit_ord", "root_folder", "tokens", *(["stems"] if stemming else [])]
+    kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
+    return units.select(*cols).mapInArrow(_postings_of_units, f"term string, path {kinds['path']}, unit_ord {kinds['unit_ord']}, positions array<int>, root_folder {kinds['root_folder']}")
+
+
+def _postings_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = batch.column(3)
+        sizes = tokens.value_lengths().fill_null(0).to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        words = tokens.flatten()
+        if batch.num_columns > 4:  # a stem stands beside its word where it differs and is not empty
+            stems = batch.column(4).flatten()
+            other = pc.fill_null(pc.and_(pc.not_equal(stems, words), pc.not_equal(stems, "")), False)
+            extra = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+            words = pa.concat_arrays([words, stems.take(pa.array(extra))])
+            row, pos = np.concatenate([row, row[extra]]), np.concatenate([pos, pos[extra]])
+        if not len(row):
+            continue
+        coded = words.dictionary_encode()
+        term = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((pos, term, row))
+        row, term, pos = row[order], term[order], pos[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
+        begin = np.flatnonzero(new)
+        positions = pa.ListArray.from_arrays(pa.array([*begin, len(row)], pa.int32()), pa.array(pos, pa.int32()))
+        unit = pa.array(row[begin])
+        yield pa.record_batch([coded.dictionary.take(pa.array(term[begin])), batch.column(0).take(unit), batch.column(1).take(unit), positions, batch.column(2).take(unit)], names=["term", "path", "unit_ord", "positions", "root_folder"])
 
 
 def write_postings(postings: DataFrame, folder: str, buckets: int = 64, mode: str = "overwrite") -> None:
@@ -35,8 +64,15 @@ def read_postings(spark, folder: str, terms: list[str] | None = None, buckets: i
     df = spark.read.parquet(folder)
     if terms is None:
         return df
-    hashed = [spark.range(1).select(F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets))).first()[0] for t in terms]
-    return df.filter(F.col("bucket").isin(hashed) & F.col("term").isin(terms))
+    return df.filter(F.col("bucket").isin(bucket_numbers(spark, terms, buckets)) & F.col("term").isin(terms))
+
+
+def bucket_numbers(spark, terms: list[str], buckets: int = 64) -> list[int]:
+    """The buckets that hold these terms, all hashed in one select."""
+    if not terms:
+        return []
+    row = spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms])).first()
+    return sorted(set(row[0]))
 
 
 def lookup_keys(term: str, accent_fold: bool = True, stemming: bool = True) -> list[str]:
@@ -73,14 +109,15 @@ def statistics(postings: DataFrame) -> DataFrame:
     return out.withColumn("per_doc", F.round(F.when(F.col("n_docs") > 0, F.col("n_postings") / F.col("n_docs")).otherwise(F.lit(0.0)), 6))
 
 
-def candidate_units(postings: DataFrame, query: Query | str, accent_fold: bool = True, stemming: bool = True) -> DataFrame | None:
+def candidate_units(postings: DataFrame | Callable[[list[str]], DataFrame], query: Query | str, accent_fold: bool = True, stemming: bool = True) -> DataFrame | None:
     """``(path, unit_ord)`` that may match, a superset; None where the index can't narrow (NOT, patterns).
 
-    A phrase needs all its words. NEAR needs a span on both sides, and a span of an AND is one of either operand.
+    ``postings`` may be a function that gives those of a list of terms. A phrase needs all its words. NEAR needs a span on both sides, and a span of an AND is one of either operand.
     """
     q = Query(query, accent_fold, stemming) if isinstance(query, str) else query
+    of = postings if callable(postings) else lambda terms: postings.filter(F.col("term").isin(terms))
     if q.tree is None:
-        return postings.select("path", "unit_ord").limit(0)
+        return of([]).select("path", "unit_ord").limit(0)
 
     groups: list[list[str]] = []
 
@@ -121,10 +158,10 @@ def candidate_units(postings: DataFrame, query: Query | str, accent_fold: bool =
     if condition is None:
         return None
     flat = sorted({k for g in groups for k in g})
-    hits = postings.filter(F.col("term").isin(flat)).groupBy("path", "unit_ord")
+    hits = of(flat).groupBy("path", "unit_ord")
     flags = [F.max(F.col("term").isin(g).cast("int")) == 1 for g in groups]
     if not flags:
-        return postings.select("path", "unit_ord").limit(0)
+        return of([]).select("path", "unit_ord").limit(0)
     return hits.agg(*[f.alias(f"g{i}") for i, f in enumerate(flags)]).filter(condition).select("path", "unit_ord")
 
 

@@ -28,6 +28,11 @@ def longest_root(files: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     return files_under_roots(files, roots).groupBy(key).agg(F.max_by("root_folder", F.length("root_folder")).alias("root_folder"))
 
 
+def _type_glob(types: Iterable[str]) -> str:
+    exts = sorted({e for t in types for e in T.FILE_TYPES.get(t, ())}) or ["."]
+    return "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in exts) + "}"
+
+
 def scan(spark: SparkSession, roots: Iterable[str], types: Iterable[str] | None = None, recursive: bool = True, content: bool = True) -> DataFrame:
     """``(path, ext, root_folder, size, mtime[, content])`` of the files below ``roots``, those of the given types.
 
@@ -42,7 +47,10 @@ def scan(spark: SparkSession, roots: Iterable[str], types: Iterable[str] | None
         fs = p.getFileSystem(conf)
         if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
             continue
-        df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root if recursive else f"{root.rstrip('/')}/*")
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        if types is not None:  # other files are left out while listing, whatever the case of their names
+            reader = reader.option("pathGlobFilter", _type_glob(types))
+        df = reader.load(root if recursive else f"{root.rstrip('/')}/*")
         path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
         cols = [path.alias("path"), T.extension(path).alias("ext"), F.lit(root).alias("root_folder"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
         if not recursive:  # the pattern also lists one level further down

@@ -1,4 +1,6 @@
 import csv
+import shutil
+import time
 import zipfile
 from datetime import datetime
 from pathlib import Path
@@ -6,8 +8,12 @@ from pathlib import Path
 import pytest
 
 from folioscan import cli
-from folioscan.api import search_files, write_index
+from folioscan.api import clear_index, search_files, write_index
+from folioscan.operators.pages import page_reader
+from folioscan.operators.store import IndexStore
+from folioscan.query.parser import Query
 from folioscan.sinks import reports
+from folioscan.sources import discovery, reading
 from folioscan.sources.formats import read_xlsx
 from folioscan.streaming import upsert
 
@@ -24,13 +30,16 @@ def folder(tmp_path_factory):
     return base
 
 
-def test_search_files(spark, folder):
+def test_search_files(spark, folder, tmp_path):
     r = search_files(spark, [str(folder)], "pump valve", min_relevance=0)
     assert {(Path(x.path).name, x.location) for x in r.matches.collect()} == {("a.txt", "1"), ("b.md", "2"), ("c.csv", "R2:C2"), ("c.csv", "R2")}
     assert {Path(x.path).name for x in r.skipped.collect()} == {"d.docx"}
-    same = search_files(spark, str(folder), "pump valve", min_relevance=0, use_index=True)
     key = lambda x: (x.path, x.location, round(x.relevance_score, 9))
-    assert sorted(map(key, same.matches.collect())) == sorted(map(key, r.matches.collect()))
+    at = str(tmp_path / "index")
+    for _ in range(2):
+        same = search_files(spark, str(folder), "pump valve", min_relevance=0, index_folder=at)
+        assert sorted(map(key, same.matches.collect())) == sorted(map(key, r.matches.collect()))
+        assert {Path(x.path).name for x in same.skipped.collect()} == {"d.docx"}
     assert search_files(spark, str(folder), "run", ["txt"], min_relevance=0).matches.count() == 1
     assert search_files(spark, str(folder), "run", ["txt"], min_relevance=0, use_stemming=False).matches.count() == 0
     assert search_files(spark, str(folder), "sao", ["txt"], min_relevance=0).matches.count() == 1
@@ -74,9 +83,65 @@ def test_cli(spark, folder, tmp_path, capsys):
     assert "warning:" in said and "matches" in said and (tmp_path / "c.txt").exists()
 
 
-def test_stored_index(spark, folder, tmp_path):
-    s = write_index(spark, [str(folder)], str(tmp_path / "ix"), ["txt", "md"]).first()
-    assert s.n_docs == 3 and (tmp_path / "ix/fold=1-stem=1/manifest").exists()
+def test_stored_index(spark, tmp_path):
+    """Only what is new or changed is opened; what is gone is found no more; a dead writer's segment isn't read."""
+    base = tmp_path / "files"
+    base.mkdir()
+    (base / "a.txt").write_text("the pump")
+    (base / "b.md").write_text("# Valves\n\nthe pump")
+    at = str(tmp_path / "ix")
+    assert write_index(spark, [str(base)], at, ["txt", "md"]).first().n_docs == 2
+    store = IndexStore(spark, at)
+    scan = lambda: discovery.scan(spark, [str(base)], ["txt", "md"], content=False)
+    assert store.refresh(scan()) == {"indexed": 0, "gone": 0} and store.segments() == [0]
+    (base / "a.txt").write_text("the new turbine")
+    (base / "b.md").unlink()
+    (base / "c.txt").write_text("a pump too")
+    assert store.refresh(scan()) == {"indexed": 2, "gone": 1} and store.segments() == [0, 1]
+    paths = lambda rows: {Path(r.path).name for r in rows.collect()}
+    assert paths(store.postings(["pump"])) == {"c.txt"} and paths(store.postings(["turbine"])) == {"a.txt"} and paths(store.units()) == {"a.txt", "c.txt"}
+    shutil.copytree(f"{store.at}/units/segment=1", f"{store.at}/units/segment=2")  # written, never committed
+    assert store.units().count() == 2
+    assert paths(store.candidates(Query("new OR nothing"))) == {"a.txt"} and paths(store.candidates(Query("NOT pump"))) == {"a.txt", "c.txt"}
+    clear_index(spark, at)
+    assert store.segments() == [] and store.units().count() == 0
+
+
+def test_pages_of_pdfs(spark, tmp_path):
+    """A plugin's pages go through the page pipeline."""
+    body = "Clean words of a page that is long enough to be no garbage at all, number {}, well-known and so on."
+    pages = {i: f"Title\n{body.format(i)}\nPage {i} of 4" for i in (1, 2, 3)} | {4: ""}
+
+    def extract(data):
+        yield from ((str(i), "page", t) for i, t in pages.items())
+        yield "2", "page", "short"
+
+    asked = []
+
+    def recognize(data, page):
+        asked.append(page)
+        return "Title\n" + body.format("four") + "\n4"
+
+    rows = list(page_reader(extract, recognize=recognize)(b""))
+    assert asked == [4] and [(r[0], r[1]) for r in rows] == [(str(i), k) for i in (1, 2, 3, 4) for k in ("page", "page-variant")]
+    assert rows[0][2] == body.format(1) and rows[6][2] == body.format("four") and "well known" in rows[1][2]
+    assert [r[0] for r in page_reader(extract, "never", recognize=recognize)(b"")][-1] == "4" and asked == [4]
+    assert len(list(page_reader(extract, "always", 2, recognize)(b""))) and asked == [4, 1, 2]
+    (tmp_path / "x.pdf").write_bytes(b"%PDF")
+    r = search_files(spark, str(tmp_path), "known", ["pdf"], min_relevance=0, plugins={".pdf": lambda data: [("1", "page", "a well-known pump")]})
+    assert [(x.location, x.unit_kind) for x in r.matches.collect()]
+
+
+def test_deadline(spark):
+    def slow(data):
+        yield "1", "file", "first"
+        time.sleep(0.3)
+        yield "2", "file", "second"
+        yield "3", "file", "third"
+
+    files = spark.createDataFrame([("/x.zzz", ".zzz", "/", bytearray(b"x"))], "path string, ext string, root_folder string, content binary")
+    rows = reading.read_units(files, {".zzz": slow}, 0.2).collect()
+    assert [r.text for r in rows] == ["first", "second", None] and "TimeoutError" in rows[-1].error
 
 
 def test_upsert(spark, tmp_path):
