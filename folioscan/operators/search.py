@@ -104,7 +104,7 @@ def rank(matches: DataFrame, documents: DataFrame, query: Query | str, min_relev
 
 
 def result_order() -> list:
-    return [F.desc("relevance_score"), F.asc("path"), F.asc("unit_ord"), F.asc("root_folder"), F.asc("context")]
+    return [F.desc("relevance_score"), F.asc("path"), F.asc("unit_ord"), F.asc("root_folder"), F.asc("context"), F.asc("query")]
 
 
 # Shaping

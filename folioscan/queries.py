@@ -67,16 +67,13 @@ def normalize_text(spark, d):
     return _texts(spark, d).select("doc_id", T.clean_extracted("text").alias("clean"), T.fold("text").alias("folded"))
 
 
-@query(rf"""select doc_id, regexp_replace(nfc_normalize(regexp_replace(regexp_replace(replace({S.nfkc('text')}, chr(13) || chr(10), chr(10)), '[\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]', '', 'g'), '[ \t]+', ' ', 'g')), '^\s+|\s+$', '', 'g') shown
-from documents where text is not null and not contains(text, '-' || chr(10)) and not contains(text, chr(173)) and not regexp_matches(text, '\n{{3,}}')""")
-def display_text(spark, d):
-    rows = _texts(spark, d).filter(~F.contains("text", F.lit("-\n")) & ~F.contains("text", F.lit("\u00ad")) & ~F.rlike("text", F.lit("\n{3,}")))
-    return rows.select("doc_id", T.clean_display("text").alias("shown"))
+_WORDS = r"[\p{L}\p{N}_]+"
 
 
-@query()
-def display_text_whole(spark, d):
-    """All texts for showing, also those with broken words, soft hyphens or runs of blank lines that the SQL of display_text leaves out."""
+@query(rf"""with s as (select doc_id, regexp_replace(regexp_replace({S.nfkc('text')}, '\x{{ad}}\s*', '', 'g'), '[\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]', '', 'g') t from documents where text is not null),
+j as (select doc_id, replace(replace(regexp_replace(t, '({_WORDS})-\s*\n\s*({_WORDS})', '\1\2', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) t from s)
+select doc_id, regexp_replace(nfc_normalize(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')), '^\s+|\s+$', '', 'g') shown from j""")
+def display_text(spark, d):
     return _texts(spark, d).select("doc_id", T.clean_display("text").alias("shown"))
 
 
@@ -373,7 +370,7 @@ def ranked_results(spark, d):
 
 # Shaping of results, over the rows that searches left
 
-_ORDER = "relevance_score desc, path, unit_ord, root_folder nulls first, context nulls first"
+_ORDER = "relevance_score desc, path, unit_ord, root_folder nulls first, context nulls first, query nulls first"
 _KEPT = f"k as (select * from (select *, row_number() over (partition by coalesce(context, ''), coalesce(query, '') order by {_ORDER}, match_id) n from match_rows) where n = 1)"
 
 
@@ -424,20 +421,17 @@ def csv_delimiter(spark, d):
     return _texts(spark, d).select("doc_id", T.delimiter_of("text").alias("delimiter"))
 
 
-@query(r"""with c as (select doc_id, text, [length(h) - length(replace(h, x, '')) for x in [',', ';', chr(9), '|']] n from (select doc_id, text, left(text, 8192) h from documents where lower(ext) = 'csv' and text is not null and not contains(text, '"'))),
-l as (select doc_id, case when list_max(n) = 0 then ',' else [',', ';', chr(9), '|'][list_position(n, list_max(n))] end x, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) ls from c),
-r as (select doc_id, r, string_split(ls[r], x) cells from l, unnest(range(1, len(ls) + 1)) t(r)),
-f as (select doc_id, r, [regexp_replace(v, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g') for v in cells] cells from r)
-select doc_id, 'R' || r || ':C' || c "location", cells[c] text from f, unnest(range(1, len(cells) + 1)) t(c) where cells[c] <> ''
-union all select doc_id, 'R' || r, list_aggregate(list_filter(cells, lambda v: v <> ''), 'string_agg', ' | ') from f where len(list_filter(cells, lambda v: v <> '')) > 0""")
+# a cell is quoted, then perhaps followed by more, or goes up to the next delimiter or line end; both end with one
+@query(r"""with c as (select doc_id, text, [length(h) - length(replace(h, x, '')) for x in [',', ';', chr(9), '|']] n from (select doc_id, text, left(text, 8192) h from documents where lower(ext) = 'csv' and text is not null)),
+x as (select doc_id, text, case when list_max(n) = 0 then ',' else [',', ';', chr(9), '|'][list_position(n, list_max(n))] end x from c),
+t as (select doc_id, x, regexp_extract_all(text || chr(10), '(?:"(?:[^"]|"")*"[^' || x || '\r\n]*|[^' || x || '\r\n]*)(?:[' || x || ']|\r?\n|\r)') ts from x),
+e as (select doc_id, i, ts[i] w, x from t, unnest(range(1, len(ts) + 1)) u(i)),
+r as (select doc_id, i, w, x, 1 + coalesce(sum((right(w, 1) <> x)::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) r from e),
+q as (select doc_id, r, i - min(i) over (partition by doc_id, r) + 1 c, regexp_replace(w, '(' || case when x = '|' then '\|' else x end || '|\r?\n|\r)$', '') v from r),
+f as (select doc_id, r, c, regexp_replace(case when starts_with(v, '"') then replace(regexp_replace(v, '^"((?:[^"]|"")*)"', '\1'), '""', '"') else v end, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g') v from q)
+select doc_id, 'R' || r || ':C' || c "location", v text from f where v <> ''
+union all select doc_id, 'R' || r, string_agg(v, ' | ' order by c) from f where v <> '' group by doc_id, r""")
 def csv_cells_rows(spark, d):
-    texts = _of_type(spark, d, "csv").filter(~F.contains("text", F.lit('"')))
-    return reading.units_of_texts(texts, formats.csv_units).select("doc_id", "location", "text")
-
-
-@query()
-def csv_cells_rows_whole(spark, d):
-    """Cells and rows of all CSV texts, also of those with quotes, which the SQL of csv_cells_rows can't split."""
     return reading.units_of_texts(_of_type(spark, d, "csv"), formats.csv_units).select("doc_id", "location", "text")
 
 
@@ -468,16 +462,9 @@ def json_documents(spark, d):
     return reading.units_of_texts(_of_type(spark, d, "json", "jsonl"), lambda t: [("1", "file", formats.json_text(t))])
 
 
-@query(r"""select doc_id, list_aggregate(list_filter(string_split(regexp_replace(regexp_replace(replace(text, chr(13), ''), '(?s)/\*.*?\*/', ' ', 'g'), '\n$', ''), chr(10)), lambda x: not regexp_matches(x, '^\s*#')), 'string_agg', chr(10)) text
-from documents where lower(ext) in ('ttl', 'nt') and text is not null and not regexp_matches(text, '[\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]')""")
+@query(r"""with l as (select doc_id, regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'), '\r\n|[\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', chr(10), 'g') t from documents where lower(ext) in ('ttl', 'nt') and text is not null)
+select doc_id, coalesce(list_aggregate(list_filter(string_split(regexp_replace(t, '\n$', ''), chr(10)), lambda x: not regexp_matches(x, '^\s*#')), 'string_agg', chr(10)), '') text from l""")
 def turtle_text(spark, d):
-    rows = _of_type(spark, d, "ttl", "nt").filter(~F.rlike("text", F.lit(r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")))
-    return reading.units_of_texts(rows, lambda t: [("1", "file", formats.turtle_text(t))]).select("doc_id", F.regexp_replace("text", "\r", "").alias("text"))
-
-
-@query()
-def turtle_text_whole(spark, d):
-    """All texts of ttl and nt, also those with line ends that the SQL of turtle_text doesn't split at."""
     return reading.units_of_texts(_of_type(spark, d, "ttl", "nt"), lambda t: [("1", "file", formats.turtle_text(t))]).select("doc_id", "text")
 
 

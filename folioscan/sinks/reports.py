@@ -25,7 +25,7 @@ COLOURS = ["#ffe08a", "#b5e8c3", "#a9d3ff", "#ffc2d1", "#d9c8ff", "#ffd0b0", "#b
 
 def write_csv(rows: DataFrame, folder: str, partition_by: str | None = None) -> None:
     """CSV with a header; one folder per value of ``partition_by``. Scales with the cluster."""
-    w = rows.write.mode("overwrite").option("header", True).option("escape", '"')
+    w = rows.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (w.partitionBy(partition_by) if partition_by else w).csv(folder)
 
 

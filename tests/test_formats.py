@@ -48,7 +48,7 @@ def test_csv_of_all_texts(spark, tmp_path):
             if any(cells):
                 want.add((i, f"R{r}", " | ".join(v.strip() for v in cells if v.strip())))
     spark.createDataFrame(texts, "doc_id bigint, ext string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(x) for x in QUERIES["csv_cells_rows_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(x) for x in QUERIES["csv_cells_rows"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -69,7 +69,7 @@ def test_turtle_of_all_texts(spark, tmp_path):
     texts = {1: "a b c .\n# note\nd e f .\n", 2: "a\x0b# note\x0cb\x1c#\x1dc\x1ed", 3: "a\u2028 # note\u2029b\x85#x", 4: "a\r\n#x\rb", 5: "/* x\ny */a # b\n", 6: ""}
     rows = [(i, "NT" if i % 2 else "ttl", t) for i, t in texts.items()] + [(7, "ttl", None), (8, "txt", "a")]
     spark.createDataFrame(rows, "doc_id bigint, ext string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.text for r in QUERIES["turtle_text_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in QUERIES["turtle_text"](spark, str(tmp_path)).collect()}
     assert got == {1: "a b c .\nd e f .", 2: "a\nb\nc\nd", 3: "a\nb", 4: "a\nb", 5: " a # b", 6: ""}
 
 

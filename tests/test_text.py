@@ -65,4 +65,4 @@ def test_display_of_all_texts(spark, tmp_path):
     }
     shown = {1: "spectral line", 2: "spectral", 3: "cooperate coop", 4: "a.\n\nb", 5: "a b\n\nc", 6: "-\nitem", 7: "café xyz", 8: "plain", 9: ""}
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.shown for r in QUERIES["display_text_whole"](spark, str(tmp_path)).collect()} == shown
+    assert {r.doc_id: r.shown for r in QUERIES["display_text"](spark, str(tmp_path)).collect()} == shown
