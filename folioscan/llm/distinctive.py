@@ -11,13 +11,14 @@ from .postings import term_file_counts
 K1, B = 1.2, 0.75
 
 
-def term_scores(postings: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def term_scores(postings: DataFrame, k1: float = K1, b: float = B, least_tf: int = 0) -> DataFrame:
     """``(path, term, tf, df, n_files, file_len, average_len, score)`` of every term of every file.
 
     ``score = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * file_len / average file_len))`` with
     ``idf = ln(1 + (n_files - df + 0.5) / (df + 0.5))``. All statistics cover the whole table; which rows
     count is told in :mod:`.postings`. A file whose counted positions are all empty has ``tf`` 0 and score 0.
-    An empty table gives no rows.
+    An empty table gives no rows. Rows of fewer than ``least_tf`` occurrences are left out, though they count in
+    all statistics.
 
     The counts per (term, path) are written once; document frequencies and file lengths come from it by
     pre-aggregated groupings, and the two joins are left to Spark: sort-merge joins whose hot keys
@@ -29,7 +30,7 @@ def term_scores(postings: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     whole = lengths.agg(F.count("*"), F.avg("file_len")).first()
     n_files, average = whole[0], whole[1] or 1.0
     n = F.lit(n_files).cast("bigint")
-    rows = tf.join(df, "term").join(lengths, "path")
+    rows = tf.filter(F.col("tf") >= least_tf).join(df, "term").join(lengths, "path")
     score = F.coalesce(idf(n, F.col("df")) * weight(F.col("tf"), F.col("file_len") / average, k1, b), F.lit(0.0))
     return rows.select("path", "term", "tf", "df", n.alias("n_files"), "file_len", F.lit(float(average)).alias("average_len"), score.alias("score"))
 
@@ -49,9 +50,10 @@ def distinctive_terms(postings: DataFrame, least_tf: int = 4, most_files: int =
     ``least_tf`` occurrences of a term of ``most_files`` files would have in that file, counted for each file and term
     so that neither part makes up for the other: the term must weigh as much as one in ``most_files`` files, and its
     score be that of ``least_tf`` occurrences or more. Both weights only fall or rise with their counts, so these are
-    the terms of at least ``least_tf`` occurrences in at most ``most_files`` files.
+    the terms of at least ``least_tf`` occurrences in at most ``most_files`` files; rows with fewer, whose score can't
+    reach that bound, are left out before the joins.
     """
-    rows = term_scores(postings, k1, b)
+    rows = term_scores(postings, k1, b, least_tf)
     n, own = F.col("n_files"), idf(F.col("n_files"), F.col("df"))
     least = own * weight(F.lit(least_tf).cast("bigint"), F.col("file_len") / F.col("average_len"), k1, b)
     return rows.filter((own >= idf(n, F.lit(most_files).cast("bigint"))) & (F.col("score") >= least))
