@@ -26,8 +26,12 @@ def build_postings(units: DataFrame, stemming: bool = True) -> DataFrame:
     return units.select(*cols).mapInArrow(_postings_of_units, f"term string, path {kinds['path']}, unit_ord {kinds['unit_ord']}, positions array<int>, root_folder {kinds['root_folder']}")
 
 
+#: Units whose words are grouped at once; a unit gives about a hundred rows, so this bounds a task's memory.
+UNITS_AT_ONCE = 500
+
+
 def _postings_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, UNITS_AT_ONCE) for b in batches for k in range(0, b.num_rows, UNITS_AT_ONCE)):
         tokens = batch.column(3)
         sizes = tokens.value_lengths().fill_null(0).to_numpy()
         row = np.repeat(np.arange(len(sizes)), sizes)
