@@ -72,7 +72,7 @@ TEMPER = 0.4
 #: By how much a byte of the restored word must be likelier as clean text than one of what stood there.
 GAIN = 0.5
 
-_WORD = re.compile(r"[A-Za-z0-9]*[^\x00-\x7f][A-Za-z0-9\x80-\U0010ffff]*")
+_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]*+[^\x00-\x7f][A-Za-z0-9\x80-\U0010ffff]*")
 
 
 @lru_cache(maxsize=64)
@@ -204,8 +204,8 @@ def _noisy(word: str, rng: random.Random) -> str:
     return "".join(rng.choice(_OTHER_NOISE[c]) if c in _OTHER_NOISE and rng.random() < share else c for c in word)
 
 
-def fit(texts: Iterable[str], seed: int = 7) -> EncodingModel:
-    """Train on clean texts, garbled by each chain."""
+def count(texts: Iterable[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Of clean texts, garbled by each chain: features by bucket and label, and words by label. Counts of texts add up."""
     rng = random.Random(seed)
     clean: Counter[str] = Counter()
     mixed: Counter[str] = Counter()
@@ -234,19 +234,19 @@ def fit(texts: Iterable[str], seed: int = 7) -> EncodingModel:
             mixed[w[:2] + core[:cut] + "  "] += 1
             for _, _, x in words_of(" ".join(core)):
                 mixed[x] += 1
-    counts = np.full((BUCKETS, len(LABELS)), SMOOTH)
+    counts = np.zeros((BUCKETS, len(LABELS)), np.int64)
     items = [(w, n) for w, n in clean.items() if "�" not in w]
 
     def add(label: int, pairs: list[tuple[str, int]]) -> None:
         if pairs:
             owner, bucket = features([w for w, _ in pairs])
-            n = np.array([n for _, n in pairs], np.float64)
+            n = np.array([n for _, n in pairs], np.int64)
             np.add.at(counts[:, label], bucket, n[owner])
 
     add(0, items)
     add(0, list(mixed.items()))
-    made_of = np.ones(len(LABELS))
-    made_of[0] = made_of[1] = sum(n for _, n in items) + 1
+    made_of = np.zeros(len(LABELS), np.int64)
+    made_of[0] = made_of[1] = sum(n for _, n in items)
     lost = [(w[:2] + re.sub(r"[^\x00-\x7f]", "�", w[2:-2]) + w[-2:], n) for w, n in items]
     add(1, lost)
     for k, chain in enumerate(CHAINS, 2):
@@ -257,9 +257,20 @@ def fit(texts: Iterable[str], seed: int = 7) -> EncodingModel:
                 made.append((w[:2] + g + w[-2:], n))
         add(k, made)
         made_of[k] += sum(n for _, n in made)
+    return counts, made_of
+
+
+def of_counts(counts: np.ndarray, made_of: np.ndarray) -> EncodingModel:
+    """The model that the sums of :func:`count` give."""
+    counts, made_of = counts + SMOOTH, made_of + 1.0
     return EncodingModel(np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(made_of / made_of[0]) + np.where(np.arange(len(LABELS)) > 0, PRIOR, 0))
 
 
+def fit(texts: Iterable[str], seed: int = 7) -> EncodingModel:
+    """Train on clean texts, garbled by each chain."""
+    return of_counts(*count(texts, seed))
+
+
 def fit_on(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> EncodingModel:
     """Train on a bounded sample of clean texts (parameter ``rows``)."""
     return fit(sample_texts(docs, rows, text_col))

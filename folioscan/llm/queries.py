@@ -40,7 +40,7 @@ def p2_beside(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     rows, docs = _read(spark, d, "match_rows"), _read(spark, d, "documents")
-    return scans.restore_fields(rows, scans.fit_on(docs, rows), encoding.fit_on(docs))
+    return scans.restore_fields(rows, *scans.fit_on(docs, rows))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,10 +4,13 @@ Two averaged perceptrons, trained on clean texts that are spoilt on purpose. The
 and their place in the page and finds running headings and page numbers. The second is a character
 editor: at every place where a confusion could have happened it chooses among keep, replace, delete,
 insert and line-join, from the characters around it, the rest of the word and whether the word that
-would come out is known. What may have happened is a fixed list of what scanners do, and what a sample of the
-noisy texts themselves shows: letters that stand in unknown words where known words have others, or have one more.
+would come out is known. What may have happened is a fixed list of what scanners do, and what the
+noisy texts themselves show: letters that stand in unknown words where known words have others, or have one more.
 Both work on whole batches of texts at once.
 
+Known words and learnt confusions are counted over all texts. Both perceptrons are trained on all texts as well, a group of
+parts at a time, and the groups' weights are averaged, so that training is one pass over the tasks.
+
 Texts are judged in the consistent form of problem 6 (:mod:`.lookalike`) and, with a model of problem 1, after what a
 wrong encoding did to them is undone, so that a letter coded in two parts, an invisible character in a word or the
 traces of an encoding aren't taken for noise.
@@ -15,21 +18,25 @@ traces of an encoding aren't taken for noise.
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import EncodingModel, Repairer
+from ..plans.scratch import discard, materialize
+from .encoding import BUCKETS, LABELS, EncodingModel, Repairer, count, of_counts
 from .lookalike import Rewriter, choose, find_classes
-from .sampling import sample_texts
+from .sampling import distinct_parts
 from .spans import _powers
 
 #: What a scan makes of letters, (read as, was).
@@ -45,8 +52,8 @@ MARKS = [" |", " _", " '", " ·", " ~", " ;."]
 _RATE = {("n", "h"): 0.3, ("o", "d"): 0.3, ("I", "l"): 0.3, ("e", "c"): 0.1, ("m", "rn"): 0.5, ("h", "b"): 0.3, ("6", "b"): 0.3, ("1", "I"): 0.5, ("|", "I"): 0.5, ("l", "I"): 0.5}
 BREAKS = ["-\n", "- \n", "¬\n", "¬ \n"]
 
-#: Parts of texts in the sample for fitting, characters of a part that the editor learns from at once, and bits of the hash.
-SAMPLE_ROWS, PART_CHARS, BITS = 2500, 1500, 19
+#: Characters of a group of parts for fitting (about), of a part that the editor learns from at once, and bits of the hash.
+GROUP_CHARS, PART_CHARS, BITS = 1 << 21, 1500, 19
 EPOCHS, BATCH, LINE_EPOCHS = 4, 512, 4
 #: By how much an edit must beat 'keep', in units of the weights' scale.
 MARGIN = 1.0
@@ -85,9 +92,9 @@ LEAST_WORDS, LEAST_SHARE, LEAST_RATIO = 8, 0.01, 3.0
 def learn_confusions(noisy: Iterable[str], clean: Iterable[str]) -> list[tuple[str, str]]:
     """What stands in unknown words of noisy texts for what known words have: single letters, and letters left out.
 
-    ``clean`` and ``noisy`` are bounded samples. A word that several known words explain counts for none.
+    A word that several known words explain counts for none. :func:`confusions_in` does the same for tables.
     """
-    words = lambda texts: {w.lower() for t in texts for w in re.findall(r"[^\W\d_]+", t) if 4 < len(w) <= 20}
+    words = lambda texts: {w for t in texts for w in _spelt(t)}
     known = words(clean)
     slots: dict[str, set[str]] = {}
     shorter: dict[str, set[tuple[str, str]]] = {}
@@ -101,11 +108,36 @@ def learn_confusions(noisy: Iterable[str], clean: Iterable[str]) -> list[tuple[s
         found = {(u[i], c) for i in range(len(u)) for c in slots.get(f"{u[:i]}*{u[i + 1 :]}", ())} | shorter.get(u, set())
         if len(found) == 1:
             counts.update(found)
+    return _frequent(counts)
+
+
+def _spelt(text: str) -> set[str]:
+    """The words that confusions are learnt from."""
+    return {w.lower() for w in set(re.findall(r"[^\W\d_]+", text)) if 4 < len(w) <= 20}
+
+
+def _frequent(counts: Counter[tuple[str, str]]) -> list[tuple[str, str]]:
     total = sum(counts.values())
     good = [p for p, n in counts.items() if n >= LEAST_WORDS and n >= LEAST_SHARE * total and (len(p[1]) > 1 or n >= LEAST_RATIO * counts[p[::-1]])]
     return sorted(good)
 
 
+def confusions_in(noisy: DataFrame, known: DataFrame) -> list[tuple[str, str]]:
+    """:func:`learn_confusions` of tables of distinct words ``(word)``; the counts of pairs of letters come to the driver."""
+    unknown = materialize(noisy.join(known, "word", "left_anti"), "p4-unknown")
+    n = F.length("word")
+    at = lambda i, k=1: F.substring(F.col("word"), i, F.lit(k))
+    without = F.concat(at(F.lit(1), F.col("i") - 1), F.lit("*"), at(F.col("i") + 1, n))
+    each = lambda df: df.select("word", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    slots = lambda df, c: each(df).select("word", without.alias("slot"), at(F.col("i")).alias(c))
+    other = slots(unknown, "read").join(slots(known, "was").drop("word"), "slot").select("word", "read", "was")
+    lost = each(known).filter("i > 1").select(F.translate(without, "*", "").alias("word"), at(F.col("i") - 1).alias("read"), at(F.col("i") - 1, F.lit(2)).alias("was"))
+    pairs = other.unionByName(lost.join(unknown, "word")).groupBy("word").agg(F.min(F.struct("read", "was")).alias("p"), F.max(F.struct("read", "was")).alias("q"))
+    counts = pairs.filter("p = q").groupBy("p").count().collect()
+    discard(unknown)
+    return _frequent(Counter({(r.p.read, r.p.was): r["count"] for r in counts}))
+
+
 _PAD = 8
 
 
@@ -232,19 +264,43 @@ def _rows(contexts: np.ndarray, pattern: int, option: int) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-_LEX_BITS = 22
+#: Bits of the table of known words, by their hashes: 16 MB, of which ten million words take less than a twelfth.
+_LEX_BITS = 27
 
 
 def lexicon_of(texts: Iterable[str]) -> np.ndarray:
-    """A table of hashes of the words of clean texts."""
-    table = np.zeros(1 << _LEX_BITS, bool)
-    words = sorted({w for t in texts for w in re.findall(r"[^\W_]+", t)})
-    for k in range(0, len(words), 20_000):
-        page = Page(words[k : k + 20_000])
-        table[(_whole(page) >> np.uint64(64 - _LEX_BITS)).astype(np.int64)] = True
+    """A table of bits for the hashes of the words of clean texts."""
+    table = np.zeros(1 << _LEX_BITS - 6, np.uint64)
+    bits = _word_bits({w for t in texts for w in _WORDS.findall(t)})
+    np.bitwise_or.at(table, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
     return table
 
 
+_WORDS = re.compile(r"[^\W_]+")
+
+
+def _word_bits(words: Iterable[str]) -> np.ndarray:
+    """The places of words in the table, each once. A word that may be cut into pieces has none."""
+    out, group, chars = [np.empty(0, np.int64)], [], 0
+    for w in [*sorted(w for w in words if len(w) <= LONGEST_WORD), None]:
+        if group and (w is None or chars + len(w) > LONGEST_WORD):
+            out.append(_bit(_whole(Page(group))))
+            group, chars = [], 0
+        if w is not None:
+            group.append(w)
+            chars += len(w) + _PAD
+    return np.unique(np.concatenate(out))
+
+
+def _bit(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _LEX_BITS)).astype(np.int64)
+
+
+def _knows(lexicon: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = _bit(hashes)
+    return (lexicon[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def _whole(page: Page) -> np.ndarray:
     ws = page.starts
     we = page.word_end[ws]
@@ -266,7 +322,7 @@ def sites_of(page: Page, lexicon: np.ndarray, candidates: Candidates) -> list[Si
         pos = page.find(p)
         if not len(pos):
             continue
-        known_now = lexicon[(page.word_with(pos, len(p), p.strip("-¬ \n")) >> np.uint64(64 - _LEX_BITS)).astype(np.int64)] if p.strip("-¬ \n") == p else np.zeros(len(pos), bool)
+        known_now = _knows(lexicon, page.word_with(pos, len(p), p.strip("-¬ \n"))) if p.strip("-¬ \n") == p else np.zeros(len(pos), bool)
         if p in candidates.rare:
             pos = pos[~known_now]
             known_now = np.zeros(len(pos), bool)
@@ -278,7 +334,7 @@ def sites_of(page: Page, lexicon: np.ndarray, candidates: Candidates) -> list[Si
             if j == 0:
                 known = known_now
             else:
-                known = lexicon[(page.word_with(pos, len(p), new) >> np.uint64(64 - _LEX_BITS)).astype(np.int64)]
+                known = _knows(lexicon, page.word_with(pos, len(p), new))
             extra = np.stack([known.astype(np.uint64) + np.uint64(2) * known_now.astype(np.uint64), np.zeros(len(pos), np.uint64)], axis=1)
             kind = 0 if j == 0 else 1 if (p, new) in candidates.common else 2
             alike = ((known.astype(np.uint64) + np.uint64(2) * known_now.astype(np.uint64) + np.uint64(4 * kind + 1)) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - BITS)
@@ -291,49 +347,60 @@ def spoil(text: str, rng: random.Random, rate: float, breaks: float, spaced: flo
     """A clean text with scan noise, and what each noisy place (offset, pattern) was."""
     candidates = candidates or Candidates()
     by_was = candidates.by_was
-    parts, gold, at, length = [], {}, 0, 0
-
-    def put(s: str) -> None:
-        nonlocal length
-        parts.append(s)
-        length += len(s)
-
-    for m in re.finditer(r"[^\W\d_]+", text):
-        put(text[at : m.start()])
-        at = m.end()
-        word = m.group()
-        if len(word) > 2 and rng.random() < spaced:
-            for i, c in enumerate(word):
-                if i:
-                    gold[length, " "] = ""
-                    put(" ")
-                put(c)
-        else:
-            cut = rng.randrange(2, len(word) - 1) if len(word) > 4 and rng.random() < breaks else -1
-            i = 0
-            while i < len(word):
-                if i == cut:
-                    b = rng.choice(BREAKS)
-                    gold[length, b] = ""
-                    put(b)
-                was = word[i : i + 2] if word[i : i + 2] in by_was and rng.random() < rate * 0.5 and i + 1 != cut else word[i]
-                reads = by_was.get(was)
-                if reads and (len(was) > 1 or rng.random() < rate):
-                    read = rng.choice(reads)
-                    if rng.random() < candidates.rate.get((read, was), 1.0):
-                        gold[length, read] = was
-                        put(read)
-                        i += len(was)
-                        continue
-                    was = word[i]
-                put(was[0] if len(was) > 1 else was)
-                i += 1
-        if rng.random() < marks and text[at : at + 1] in (" ", "\n", ""):
-            mark = rng.choice(MARKS)
-            gold[length, mark] = ""
-            put(mark)
-    put(text[at:])
-    return "".join(parts), gold
+    spans = [m.span() for m in re.finditer(r"[^\W\d_]+", text)]
+    starts = [s for s, _ in spans]
+    events: dict[int, list[tuple[int, str, str]]] = {}  # by offset: how many characters, read as, was
+    cuts: dict[int, int] = {}  # where words are broken, -1 if spaced out
+    for k in _chosen(rng, len(spans), spaced):
+        s, e = spans[k]
+        if e - s > 2:
+            cuts[k] = -1
+            events.update((i, [(0, " ", "")]) for i in range(s + 1, e))
+    for k in _chosen(rng, len(spans), breaks):
+        s, e = spans[k]
+        if e - s > 4 and k not in cuts:
+            cuts[k] = rng.randrange(s + 2, e - 1)
+            events[cuts[k]] = [(0, rng.choice(BREAKS), "")]
+    at_pairs: dict[int, bool] = {}  # two characters that were looked at, and whether they were replaced
+    for size, share in ((2, rate * 0.5), (1, rate)):
+        for at in _chosen(rng, len(text) + 1 - size, share):
+            was = text[at : at + size]
+            if was not in by_was or at in at_pairs or at_pairs.get(at - 1):
+                continue
+            k = bisect_right(starts, at) - 1
+            if k < 0 or at + size > spans[k][1] or cuts.get(k) == -1 or (size > 1 and cuts.get(k) == at + 1):
+                continue
+            read = rng.choice(by_was[was])
+            happens = rng.random() < candidates.rate.get((read, was), 1.0)
+            if happens:
+                events.setdefault(at, []).append((size, read, was))
+            if size > 1:
+                at_pairs[at] = happens
+    for k in _chosen(rng, len(spans), marks):
+        e = spans[k][1]
+        if text[e : e + 1] in (" ", "\n", ""):
+            events.setdefault(e, []).append((0, rng.choice(MARKS), ""))
+    parts, gold, at, grown = [], {}, 0, 0
+    for i in sorted(events):
+        parts.append(text[at:i])
+        at = i
+        for size, read, was in events[i]:
+            gold[at + grown, read] = was
+            parts.append(read)
+            grown += len(read) - size
+            at += size
+    return "".join(parts) + text[at:], gold
+
+
+def _chosen(rng: random.Random, n: int, share: float) -> Iterator[int]:
+    """Numbers below ``n``, each with the chance ``share`` (below 1), drawn by the gaps between them."""
+    if share <= 0:
+        return
+    scale = 1 / math.log(1 - share)
+    at = int(math.log(1 - rng.random()) * scale)
+    while at < n:
+        yield at
+        at += 1 + int(math.log(1 - rng.random()) * scale)
 
 
 @dataclass
@@ -345,9 +412,13 @@ class ScanModel:
     candidates: Candidates = field(default_factory=Candidates)
 
 
-def fit_editor(texts: list[str], rng: random.Random, candidates: Candidates) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged perceptron over sites of spoilt texts, by mini-batches of sites."""
-    lexicon = lexicon_of(texts[: len(texts) * 4 // 5])
+def fit_editor(texts: list[str], rng: random.Random, candidates: Candidates, lexicon: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Averaged perceptron over sites of spoilt texts, by mini-batches of sites.
+
+    Some words of the texts must be missing in the lexicon, so that unknown words are learnt too.
+    """
+    if lexicon is None:
+        lexicon = lexicon_of(texts[: len(texts) * 4 // 5])
     spoilt, golds = [], []
     for k, t in enumerate(texts):
         level = k % 3
@@ -363,15 +434,18 @@ def fit_editor(texts: list[str], rng: random.Random, candidates: Candidates) ->
     groups = []
     for a in range(0, len(spoilt), 300):
         page = Page(spoilt[a : a + 300])
-        answer = {(int(page.starts[i]) + o, p): was for i, g in enumerate(golds[a : a + 300]) for (o, p), was in g.items()}
+        answer: dict[str, list[tuple[int, int]]] = {}
+        for start, g in zip(page.starts.tolist(), golds[a : a + 300]):
+            for (o, p), was in g.items():
+                answer.setdefault(p, []).append((start + o, 1 + candidates.options[p].index(was)))
         for site in sites_of(page, lexicon, candidates):
-            p = candidates.patterns[site.pattern]
             right = np.zeros(len(site.pos), np.int64)
-            for j, q in enumerate(site.pos.tolist()):
-                was = answer.get((q, p))
-                if was is not None:
-                    right[j] = 1 + candidates.options[p].index(was)
-            groups.append((np.stack(site.features, axis=1), right))
+            if own := answer.get(candidates.patterns[site.pattern]):
+                at, option = np.array(own, np.int64).T
+                where = np.minimum(np.searchsorted(site.pos, at), len(site.pos) - 1)
+                met = site.pos[where] == at
+                right[where[met]] = option[met]
+            groups.append((np.stack(site.features, axis=1).astype(np.int32), right))
     order = np.random.default_rng(5)
     steps = 0
     for _ in range(EPOCHS):
@@ -401,9 +475,15 @@ _NUMBER_LINE = re.compile(r"[—–-] ?\d{1,4} ?[—–-]|\[?[pPsS]\. ?\d{1,4}\]
 _TITLE = re.compile(r"[^\W\d_][\w’'-]*(?: [^\W\d_][\w’'-]*){0,5}(?: \d{1,5})?")
 
 
+_DIGITS = re.compile(r"\d+")
+_SHAPES = [(_DIGITS, "0"), (re.compile(r"[a-zß-ÿα-ωά-ώа-яё]+"), "a"), (re.compile(r"[A-ZÀ-ÞΑ-ΩА-Я]+"), "A"), (re.compile(r"(A )+"), "A "), (re.compile(r"(Aa ?)+"), "T ")]
+
+
+@lru_cache(maxsize=1 << 14)
 def _shape(line: str) -> str:
-    s = re.sub(r"[A-ZÀ-ÞΑ-ΩА-Я]+", "A", re.sub(r"[a-zß-ÿα-ωά-ώа-яё]+", "a", re.sub(r"\d+", "0", line)))
-    return re.sub(r"(Aa ?)+", "T ", re.sub(r"(A )+", "A ", s))[:16]
+    for pattern, new in _SHAPES:
+        line = pattern.sub(new, line)
+    return line[:16]
 
 
 def candidate_lines(lines: list[str]) -> list[int]:
@@ -439,7 +519,7 @@ def line_features(lines: list[str], i: int, common: Counter) -> list[str]:
     partner = bool(_NUMBER_LINE.fullmatch(up.strip())) or bool(_NUMBER_LINE.fullmatch(down))
     begins = "begins" if any(j != i and x.startswith(s) for j, x in enumerate(lines)) else ""
     over = "title" if _TITLE.fullmatch(up.strip()) and up.count(" ") < 4 else "text"
-    again = "again" if common[re.sub(r"\d+", "#", s).lower()] > 1 else ""
+    again = "again" if common[_DIGITS.sub("#", s).lower()] > 1 else ""
     mark = "mark" if re.match(r"[#*|•]|\d+[.)] ", s) else ""
     cells = "cells" if any(c in s or c in up[-80:] for c in ("|", "\t", ";")) else ""
     f = [
@@ -451,7 +531,7 @@ def line_features(lines: list[str], i: int, common: Counter) -> list[str]:
 
 
 def _recurring(lines: list[str]) -> Counter:
-    return Counter(re.sub(r"\d+", "#", x.strip()).lower() for x in lines)
+    return Counter([_DIGITS.sub("#", x.strip()).lower() for x in lines])
 
 
 def furnish(text: str, rng: random.Random, titles: list[str]) -> tuple[str, set[int]]:
@@ -520,8 +600,9 @@ def fit_lines(texts: list[str], rng: random.Random) -> dict[str, float]:
             lines = text.split("\n")
             if k % 2 and len(lines) > 2:
                 lines, found = _cut(lines, found, rng)
-            common = _recurring(lines)
-            for i in candidate_lines(lines):
+            maybe = candidate_lines(lines)
+            common = _recurring(lines) if maybe else Counter()
+            for i in maybe:
                 data.append((line_features(lines, i, common), i in found))
     w: dict[str, float] = {}
     total: dict[str, float] = {}
@@ -547,13 +628,116 @@ def fit(texts: list[str], noisy: Iterable[str] = (), seed: int = 11) -> ScanMode
     return ScanModel(weights, lexicon, fit_lines(texts, rng), candidates=candidates)
 
 
-def fit_on(docs: DataFrame, noisy: DataFrame | None = None, text_col: str = "text", rows: int = SAMPLE_ROWS, fields: tuple[str, ...] = ("context", "document_text")) -> ScanModel:
-    """Train on bounded samples (parameter ``rows`` each) of clean texts, and of the noisy values of ``fields``."""
-    seen: list[str] = []
-    if noisy is not None:
-        values = noisy.select(F.explode(F.array(*fields)).alias("v"))
-        seen = [_even(t) for t in sample_texts(values, rows, "v")]
-    return fit(sample_texts(docs, rows, text_col), seen)
+def _words_of(df: DataFrame, noisy: bool) -> DataFrame:
+    """Distinct ``(bit, held, word)`` of all values of the columns: the words that confusions are learnt from, and of clean
+    texts the places of known words in the table, ``held`` for those that stand in a fifth of the texts only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt: set[str] = set()
+        words: tuple[set[str], set[str]] = (set(), set())
+
+        def flush() -> pa.RecordBatch:
+            taught, held = (_word_bits(x) for x in words)
+            held = np.setdiff1d(held, taught)
+            none, n = [pa.nulls(len(spelt), pa.int64()), pa.nulls(len(spelt), pa.bool_())], len(taught) + len(held)
+            bits = pa.array(np.concatenate([taught, held]))
+            out = [pa.concat_arrays([none[0], bits]), pa.concat_arrays([none[1], pa.array(np.arange(n) >= len(taught))]), pa.concat_arrays([pa.array(sorted(spelt), pa.string()), pa.nulls(n, pa.string())])]
+            for x in (spelt, *words):
+                x.clear()
+            return pa.record_batch(out, names=["bit", "held", "word"])
+
+        for batch in batches:
+            stretches: tuple[set[str], set[str]] = (set(), set())  # between blanks; no word holds one
+            for text in {t for c in batch.columns for t in c.to_pylist() if t}:
+                held = not noisy and zlib.crc32(text.encode("utf-8", "surrogatepass")) % 5 == 4
+                stretches[held].update(text.split())
+            for own, part in zip(words, stretches):
+                joined = " ".join(sorted(part))
+                spelt |= _spelt(_even(joined) if noisy else joined)
+                if not noisy:
+                    own.update(_WORDS.findall(joined))
+            if len(spelt) + len(words[0]) + len(words[1]) > 500_000:
+                yield flush()
+        yield flush()
+
+    return df.mapInArrow(run, "bit bigint, held boolean, word string").groupBy("bit", "word").agg(F.min("held").alias("held"))
+
+
+def _tables_of(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The table of all known words, and the one without those held back."""
+    mask = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    found = words.filter("bit is not null").groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(mask).alias("a"), F.bit_or(F.when(~F.col("held"), mask).otherwise(F.lit(0).cast("bigint"))).alias("b")).toArrow()
+    tables = np.zeros((2, 1 << _LEX_BITS - 6), np.uint64)
+    for table, c in zip(tables, "ab"):
+        table[found.column("at").to_numpy()] = found.column(c).to_numpy().view(np.uint64)
+    return tables[0], tables[1]
+
+
+def groups_of(texts: list[str]) -> Iterator[list[str]]:
+    """All texts in groups of much the same number of characters, so that memory doesn't grow with their lengths."""
+    ends = np.cumsum([len(t) for t in texts])
+    n = max(1, round(int(ends[-1]) / GROUP_CHARS))
+    cuts = [0, *np.searchsorted(ends, [int(ends[-1]) * k // n for k in range(1, n)]).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield texts[a:b]
+
+
+#: Weights are added up as whole numbers of this fraction, so that sums don't depend on the order.
+_UNIT = 1 << 20
+_EDITOR, _LINES, _GROUPS, _CODES, _MADE = range(5)
+
+
+def fit_on(docs: DataFrame, noisy: DataFrame, text_col: str = "text", fields: tuple[str, ...] = ("context", "document_text")) -> tuple[ScanModel, EncodingModel]:
+    """Train on all clean texts, and on the noisy values of ``fields``: this model, and the one of problem 1.
+
+    Words and confusions are counted over all texts and values. Every distinct part of a clean text is learnt from: groups
+    of ``GROUP_CHARS`` train by themselves, and their weights are averaged by their parts; the counts of problem 1
+    are added up. What a group holds and what comes out doesn't depend on the order or partitions of the tables.
+    """
+    seen = materialize(_words_of(docs.select(text_col), False), "p4-words")
+    lexicon, taught = _tables_of(seen)
+    spelt = _words_of(noisy.select(*fields), True)
+    candidates = Candidates(confusions_in(spelt.select("word"), seen.filter("word is not null").select("word")))
+    discard(seen)
+    at = np.flatnonzero(taught)
+    shared = docs.sparkSession.sparkContext.broadcast((at, taught[at], candidates))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits, candidates = shared.value
+        table = np.zeros(1 << _LEX_BITS - 6, np.uint64)
+        table[at] = bits
+        texts = [t for batch in batches for t in batch.column(0).to_pylist()]
+        if not texts:
+            return
+        texts = [t for _, t in sorted((zlib.crc32(t.encode("utf-8", "surrogatepass")), t) for t in texts)]
+        weights, lines = np.zeros(1 << BITS, np.int64), Counter()
+        for group in groups_of(texts):
+            rng = random.Random(zlib.crc32(group[0].encode("utf-8", "surrogatepass")))
+            parts = [t[i : i + PART_CHARS] for t in group for i in range(0, len(t), PART_CHARS)]
+            weights += np.rint(fit_editor(parts, rng, candidates, table)[0].astype(np.float64) * (_UNIT * len(group))).astype(np.int64)
+            for x, v in fit_lines(group, rng).items():
+                lines[x] += round(v * _UNIT * len(group))
+        counts, made_of = count(texts)
+        for kind, sums in ((_EDITOR, weights), (_CODES, counts.ravel()), (_MADE, made_of), (_GROUPS, np.array([len(texts)]))):
+            key = np.flatnonzero(sums)
+            yield pa.record_batch([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.nulls(len(key), pa.string()), pa.array(sums[key])], names=names)
+        yield pa.record_batch([pa.array(np.full(len(lines), _LINES, np.int8)), pa.array(np.zeros(len(lines), np.int64)), pa.array(list(lines), pa.string()), pa.array(list(lines.values()), pa.int64())], names=names)
+
+    names = ["kind", "key", "name", "n"]
+    found = distinct_parts(docs, text_col).mapInArrow(run, "kind tinyint, key bigint, name string, n bigint").groupBy("kind", "key", "name").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    kind, key, n = (found.column(c).to_numpy() for c in ("kind", "key", "n"))
+
+    def dense(k: int, size: int) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        out[key[kind == k]] = n[kind == k]
+        return out
+
+    scale = 1 / (_UNIT * max(1, int(dense(_GROUPS, 1)[0])))
+    lines = {x: int(v) * scale for x, v in sorted(zip(found.column("name").filter(pa.array(kind == _LINES)).to_pylist(), n[kind == _LINES].tolist()))}
+    model = ScanModel((dense(_EDITOR, 1 << BITS) * scale).astype(np.float32), lexicon, lines, candidates=candidates)
+    return model, of_counts(dense(_CODES, BUCKETS * len(LABELS)).reshape(BUCKETS, len(LABELS)), dense(_MADE, len(LABELS)))
 
 
 _rewriters: list[Rewriter] = []
@@ -696,7 +880,7 @@ LONGEST = 60
 
 
 def is_known(word: str, lexicon: np.ndarray) -> bool:
-    return bool(lexicon[(_whole(Page([word])) >> np.uint64(64 - _LEX_BITS)).astype(np.int64)][0])
+    return bool(_knows(lexicon, _whole(Page([word])))[0])
 
 
 def _whole_word(s: str) -> str:
@@ -774,7 +958,7 @@ def restore_fields(rows: DataFrame, model: ScanModel, garbled: EncodingModel | N
     A value is a case if a word is broken over lines, ``SEVERAL`` or more characters are wrongly recognised,
     or a running heading or page number stands amid the text. Null and empty values are never returned;
     repeated rows are judged each for itself; whole texts are read, very long ones in pieces; other columns
-    are not read. No shuffle. The model has a fixed size (about 6 MB).
+    are not read. No shuffle. The model has a fixed size (about 18 MB).
     """
     kind = rows.schema[id_col].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast((model, garbled))
@@ -792,7 +976,10 @@ def restore_fields(rows: DataFrame, model: ScanModel, garbled: EncodingModel | N
                     judge.prepare(values)
                     for i in index:
                         values[i] = judge.repair(values[i])[1]
-                for i, (new, counts) in zip(index, restorer.restore([values[i] for i in index])):
+                distinct = list(dict.fromkeys(values[i] for i in index))
+                restored = dict(zip(distinct, restorer.restore(distinct)))
+                for i in index:
+                    new, counts = restored[values[i]]
                     if is_case(counts):
                         at.append(i)
                         which.append(field)

@@ -125,3 +125,72 @@ def test_coding_is_no_noise(model):
     text = "The co\u0301py of the fac\u0327ade be\u200bside the pu\u00admp, and the sce\u0301ne opens later."
     (_, counts), = sc.Restorer(model).restore([text])
     assert not counts["wrong"] and not counts["spaced"]
+
+
+def _word(n: int, letters: str = "bcdfhjkmnprstvwz") -> str:
+    """A word of its own for each number; no two differ in one letter or by one."""
+    digits = [n >> k & 15 for k in (0, 4, 8)]
+    return "".join(letters[d] + v for d, v in zip([*digits, sum(digits) % 16, sum(k * d for k, d in enumerate(digits, 1)) % 16], "aeiou"))
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """More texts and values than any bound, with a word of its own in each text and a rare confusion in the values."""
+    docs = spark.createDataFrame([(f"the pump {_word(n)} borders the valve",) for n in range(4000)] + [("",), (None,), ("  ",)], "text string")
+    bad = {n: _word(n).replace("a", "ы", 1) for n in range(0, 4000, 400)}
+    rows = spark.createDataFrame([(n, f"row {n}: the pump {bad.get(n, _word(n))} borders the valve", None) for n in range(4000)], "match_id bigint, context string, document_text string")
+    return docs, rows
+
+
+@pytest.fixture(scope="module")
+def fitted(tables):
+    return sc.fit_on(*tables)
+
+
+def test_all_texts_and_values_count(fitted):
+    """No word of a text and no value with a rare confusion is left to chance."""
+    model, _ = fitted
+    assert all(sc.is_known(_word(n), model.lexicon) for n in range(4000))
+    assert model.candidates.options.get("ы") == ["a"]
+
+
+def test_fit_ignores_order_and_partitions(tables, fitted):
+    docs, rows = tables
+    again, code = sc.fit_on(docs.union(docs).orderBy("text").repartition(3), rows.repartition(5))
+    model, garbled = fitted
+    assert (again.weights == model.weights).all() and (again.lexicon == model.lexicon).all() and again.lines == model.lines
+    assert again.candidates.options == model.candidates.options and (code.weights == garbled.weights).all() and (code.prior == garbled.prior).all()
+
+
+def test_fit_of_nothing(tables):
+    docs, rows = tables
+    model, garbled = sc.fit_on(docs.limit(0), rows.limit(0))
+    assert not model.weights.any() and sc.restore_fields(rows.limit(5), model, garbled).count() == 0
+
+
+def test_parts_are_all_texts(spark):
+    from folioscan.llm.sampling import distinct_parts
+
+    texts = [f"{n} text" * (1 + n % 3) for n in range(300)]
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts, "x" * 7000, None, "", " "]], "text string")
+    got = distinct_parts(df, rows=100)
+    assert sorted(r.t for r in got.collect()) == sorted([*texts, "x" * 3000, "x" * 1000]) and got.rdd.getNumPartitions() == 7
+
+
+def test_confusions_in_tables(spark, texts):
+    clean = texts[:200]
+    noisy = [t.replace("g", "q").replace("ll", "l") for t in clean]
+    table = lambda ts: spark.createDataFrame([(w,) for w in sorted({w for t in ts for w in sc._spelt(t)})], "word string")
+    assert sc.confusions_in(table(noisy), table(clean)) == sc.learn_confusions(noisy, clean) != []
+
+
+def test_lexicon_holds_long_words():
+    lexicon = sc.lexicon_of(["ab " + "x" * 3_000_000 + " " + "y" * 400_000 + " " + "z" * 400_000])
+    assert sc.is_known("ab", lexicon) and sc.is_known("y" * 400_000, lexicon) and not sc.is_known("ba", lexicon)
+
+
+def test_groups_are_all_texts(monkeypatch):
+    monkeypatch.setattr(sc, "GROUP_CHARS", 100)
+    for texts in (["a"], ["ab" * n for n in range(1, 40)], ["x" * 500, "y", "z" * 90]):
+        groups = list(sc.groups_of(texts))
+        assert [t for g in groups for t in g] == texts and all(groups) and all(sum(map(len, g[1:])) <= 200 for g in groups)
