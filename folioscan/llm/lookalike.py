@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,7 @@ def _shapes() -> list[list[str]]:
     return [row.split() for row in _SHAPES.replace("\n", "").split("|") if row.strip()]
 
 
+@lru_cache(maxsize=1 << 12)
 def _kind(member: str) -> str:
     if member in _BLANKS:
         return "blank"
@@ -133,9 +135,11 @@ class Rewriter:
 
     def __post_init__(self):
         self._automata: dict = {}
+        self._signs: dict[str, tuple[str | None, bool]] = {}
+        self._words: dict[str, tuple[Counter, Counter]] = {}
 
     def __getstate__(self):
-        return {"plain": self.plain, "letters": self.letters, "_automata": {}}
+        return {"plain": self.plain, "letters": self.letters, "_automata": {}, "_signs": {}, "_words": {}}
 
     def _automaton(self, script: str | None):
         import ahocorasick
@@ -149,6 +153,11 @@ class Rewriter:
         return self._automata[script]
 
     def _rewrite(self, text: str, script: str | None = None, kinds: set[str] | None = None) -> str:
+        if script is None:
+            if "plain" not in self._automata:  # a text without the last character of any member has no member
+                self._automata["plain"] = re.compile(f"[{''.join(sorted({re.escape(x[-1]) for x in self.plain}))}]" if self.plain else r"(?!)")
+            if not self._automata["plain"].search(text):
+                return text
         parts, at = [], 0
         for end, (n, y) in self._automaton(script).iter_long(text):
             start = end - n + 1
@@ -177,13 +186,7 @@ class Rewriter:
     def _letters(self, text: str, kinds: set[str]) -> str:
         spans, own = [], Counter()
         for m in _WORD.finditer(text):
-            scripts, sure = Counter(), Counter()
-            for c in m.group():
-                s = script_of(c)
-                if s:
-                    scripts[s] += 1
-                    if not self._shared(c):
-                        sure[s] += 1
+            scripts, sure = self._scripts(m.group())
             if len(sure) == 1:
                 own[next(iter(sure))] += 1
             if len(scripts) > 1 or (scripts and "Latin" not in scripts and not sure):
@@ -204,6 +207,25 @@ class Rewriter:
                 at = e
         return "".join(parts) + text[at:] if parts else text
 
+    def _scripts(self, word: str) -> tuple[Counter, Counter]:
+        """How many letters of a word are of each script, and of those that no other script has; a bounded number of short words is remembered."""
+        if word in self._words:
+            return self._words[word]
+        scripts, sure = Counter(), Counter()
+        for c in word:
+            if c not in self._signs:
+                self._signs[c] = script_of(c), self._shared(c)
+            s, shared = self._signs[c]
+            if s:
+                scripts[s] += 1
+                if not shared:
+                    sure[s] += 1
+        if len(word) <= 30:
+            if len(self._words) >= 50_000:
+                self._words.clear()
+            self._words[word] = scripts, sure
+        return scripts, sure
+
     def _shared(self, c: str) -> bool:
         base = unicodedata.normalize("NFD", c)[0] if ord(c) > 0x24F else c
         return any(base in self.letters[s] for s in SCRIPTS)

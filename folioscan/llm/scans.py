@@ -18,6 +18,7 @@ traces of an encoding aren't taken for noise.
 
 from __future__ import annotations
 
+import gc
 import math
 import random
 import re
@@ -25,6 +26,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, materialize
-from .encoding import BUCKETS, LABELS, EncodingModel, Repairer, count, of_counts
+from .encoding import BUCKETS, LABELS, EncodingModel, Repairer, count, letter_spans, of_counts
 from .lookalike import Rewriter, choose, find_classes
 from .sampling import distinct_parts
 from .spans import _powers
@@ -185,7 +187,8 @@ class Page:
         gap = "\x00" * _PAD
         joined = gap + gap.join(texts) + gap
         raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.raw = np.where(raw < 0x10000, raw, 0xFFFF)
+        self.raw = np.minimum(raw, 0xFFFF).astype(np.uint16)
+        self._places: dict[str, np.ndarray] = {}
         lens = np.array([len(t) for t in texts], np.int64)
         self.starts = _PAD + np.concatenate([[0], np.cumsum(lens + _PAD)[:-1]]).astype(np.int64)
         self.norm = norm[self.raw].astype(np.uint64)
@@ -202,11 +205,11 @@ class Page:
     def find(self, pattern: str) -> np.ndarray:
         """Where the pattern stands, if an edit could apply there."""
         raw, kind = self.raw, self.kind
-        n = len(raw) - 2 * _PAD
-        hit = raw[_PAD : _PAD + n] == ord(pattern[0])
+        if pattern[0] not in self._places:
+            self._places[pattern[0]] = np.flatnonzero(raw[_PAD:-_PAD] == ord(pattern[0])) + _PAD
+        pos = self._places[pattern[0]]
         for j, c in enumerate(pattern[1:], 1):
-            hit &= raw[_PAD + j : _PAD + j + n] == ord(c)
-        pos = np.flatnonzero(hit) + _PAD
+            pos = pos[raw[pos + j] == ord(c)]
         size = len(pattern)
         left, right = kind[pos - 1], kind[pos + size]
         if pattern == " ":  # between two single letters
@@ -220,48 +223,61 @@ class Page:
             return pos[((left & 1) | (right & 1) == 1) | ((left == 0) & (right == 0) & (raw[pos - 1] == 32))]
         return pos
 
-    def contexts(self, pos: np.ndarray, size: int) -> np.ndarray:
-        """Hashed contexts of sites, one column for each feature template."""
-        m = self.norm
-        left = [m[pos - k] for k in range(1, 6)]
-        right = [m[pos + size - 1 + k] for k in range(1, 6)]
-        chain = lambda *xs: _chain(xs)
-        l1, l2, l3, l4, l5 = left
-        r1, r2, r3, r4, r5 = right
-        ws, we = self.word_start[pos], self.word_end[pos + size - 1]
-        we = np.maximum(we, pos + size)
-        ws = np.minimum(ws, pos)
+    def words(self, pos: np.ndarray, size: int) -> np.ndarray:
+        """Of the word around each site: the site, how far into the word it stands, and sums of what comes before and after."""
+        ws, we = np.minimum(self.word_start[pos], pos), np.maximum(self.word_end[pos + size - 1], pos + size)
         head = (self.sums[pos] - self.sums[ws]) * self.down[ws]
         tail = (self.sums[we] - self.sums[pos + size]) * self.down[pos + size]
+        return np.stack([pos.astype(np.uint64), (pos - ws).astype(np.uint64), head, tail])
+
+    def contexts(self, words: np.ndarray, size: int) -> np.ndarray:
+        """Hashed contexts of sites, one row for each feature template; two more are for what is known and for all."""
+        pos, m = words[0].astype(np.int64), self.norm
+        l1, l2, l3, l4 = (m[pos - k] for k in range(1, 5))
+        r1, r2, r3, r4 = (m[pos + size - 1 + k] for k in range(1, 5))
+        chain = lambda *xs: _chain(xs)
+        _, shift, head, tail = words
         cased = (self.kind[pos - 1].astype(np.uint64) << np.uint64(2)) | self.kind[pos + size].astype(np.uint64)
+        none = np.zeros(len(pos), np.uint64)
         return np.stack([
             chain(l1, r1), chain(l2, l1), chain(r1, r2), chain(l2, l1, r1, r2), chain(l3, l2, l1), chain(r1, r2, r3), chain(l1, r1, r2), chain(l2, l1, r1),
-            chain(l4, l3, l2, l1), chain(r1, r2, r3, r4), chain(l3, l2, l1, r1, r2, r3), _mix32(head * np.uint64(3) + tail), _mix32(head) ^ (pos - ws).astype(np.uint64), _mix32(tail * np.uint64(5)), cased,
-        ], axis=1)
+            chain(l4, l3, l2, l1), chain(r1, r2, r3, r4), chain(l3, l2, l1, r1, r2, r3), _mix32(head * np.uint64(3) + tail), _mix32(head) ^ shift, _mix32(tail * np.uint64(5)), cased, none, none,
+        ])
 
-    def word_with(self, pos: np.ndarray, size: int, new: str) -> np.ndarray:
+    def word_with(self, words: np.ndarray, new: str) -> np.ndarray:
         """Hash of the word around each site with the site replaced by ``new``."""
-        norm, _ = _lookup()
-        ws, we = np.minimum(self.word_start[pos], pos), np.maximum(self.word_end[pos + size - 1], pos + size)
-        h = (self.sums[pos] - self.sums[ws]) * self.down[ws]
-        shift = pos - ws
+        shift, h = words[1].astype(np.int64), words[2]
         for j, c in enumerate(new):
-            h = h + _mix32(np.array([int(norm[ord(c)]) + 1], np.uint64))[0] * self.up[shift + j]
-        return _mix32(h + (self.sums[we] - self.sums[pos + size]) * self.down[pos + size] * self.up[shift + len(new)])
+            h = h + _sign(c) * self.up[shift + j]
+        return _mix32(h + words[3] * self.up[shift + len(new)])
+
+
+@lru_cache(maxsize=1 << 12)
+def _sign(c: str) -> np.uint64:
+    return _mix32(np.array([int(_lookup()[0][min(ord(c), 0xFFFF)]) + 1], np.uint64))[0]
 
 
 def _chain(xs) -> np.ndarray:
-    h = np.full(len(xs[0]), len(xs), np.uint64)
-    for x in xs:
-        h = (h ^ x) * np.uint64(0x100000001B3) + (h >> np.uint64(17))
+    h = (xs[0] ^ np.uint64(len(xs))) * np.uint64(0x100000001B3)
+    for x in xs[1:]:
+        high = h >> np.uint64(17)
+        h ^= x
+        h *= np.uint64(0x100000001B3)
+        h += high
     return h
 
 
+#: Features of an option: of its contexts, of what is known there, of the option, and one that all patterns share.
+FEATURES = 18
+_SALTS = (np.arange(FEATURES - 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _rows(contexts: np.ndarray, pattern: int, option: int) -> np.ndarray:
     """Buckets of the features of one option."""
-    salt = (np.arange(contexts.shape[1], dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(pattern * 8191 + option * 131 + 7)
-    h = (contexts ^ salt) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+    h = contexts ^ (_SALTS + np.uint64(pattern * 8191 + option * 131 + 7))[:, None]
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h >>= np.uint64(64 - BITS)
+    return h
 
 
 #: Bits of the table of known words, by their hashes: 16 MB, of which ten million words take less than a twelfth.
@@ -313,51 +329,78 @@ class Site:
 
     pattern: int
     pos: np.ndarray
-    features: list[np.ndarray]  # of keep and each option: buckets (site, feature); the last is shared by all patterns
+    features: np.ndarray  # buckets of keep and each option: (option, feature, site)
 
 
 def sites_of(page: Page, lexicon: np.ndarray, candidates: Candidates) -> list[Site]:
-    out = []
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
     for k, p in enumerate(candidates.patterns):
         pos = page.find(p)
-        if not len(pos):
-            continue
-        known_now = _knows(lexicon, page.word_with(pos, len(p), p.strip("-¬ \n"))) if p.strip("-¬ \n") == p else np.zeros(len(pos), bool)
-        if p in candidates.rare:
-            pos = pos[~known_now]
-            known_now = np.zeros(len(pos), bool)
-            if not len(pos):
-                continue
-        contexts = page.contexts(pos, len(p))
-        features = []
-        for j, new in enumerate([p, *candidates.options[p]]):
-            if j == 0:
-                known = known_now
-            else:
-                known = _knows(lexicon, page.word_with(pos, len(p), new))
-            extra = np.stack([known.astype(np.uint64) + np.uint64(2) * known_now.astype(np.uint64), np.zeros(len(pos), np.uint64)], axis=1)
-            kind = 0 if j == 0 else 1 if (p, new) in candidates.common else 2
-            alike = ((known.astype(np.uint64) + np.uint64(2) * known_now.astype(np.uint64) + np.uint64(4 * kind + 1)) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - BITS)
-            features.append(np.concatenate([_rows(np.concatenate([contexts, extra], axis=1), k, j), alike.astype(np.int64)[:, None]], axis=1))
-        out.append(Site(k, pos, features))
-    return out
-
-
-def spoil(text: str, rng: random.Random, rate: float, breaks: float, spaced: float, marks: float, candidates: Candidates | None = None) -> tuple[str, dict[tuple[int, str], str]]:
-    """A clean text with scan noise, and what each noisy place (offset, pattern) was."""
+        if len(pos):
+            by_size.setdefault(len(p), []).append((k, pos))
+    out = []
+    for size, found in by_size.items():
+        words = page.words(np.concatenate([pos for _, pos in found]), size)
+        own: list[tuple[int, np.ndarray, np.ndarray]] = []
+        at = 0
+        for k, pos in found:
+            p, mine = candidates.patterns[k], words[:, at : at + len(pos)]
+            at += len(pos)
+            known_now = _knows(lexicon, page.word_with(mine, p)) if p.strip("-¬ \n") == p else np.zeros(len(pos), bool)
+            if p in candidates.rare:
+                mine = mine[:, ~known_now]
+                known_now = np.zeros(mine.shape[1], bool)
+            own.append((k, mine, known_now))
+        contexts = page.contexts(np.concatenate([mine for _, mine, _ in own], axis=1), size)
+        at = 0
+        for k, mine, known_now in own:
+            n = mine.shape[1]
+            if n:
+                out.append(_site(page, lexicon, candidates, k, mine, known_now, contexts[:, at : at + n]))
+            at += n
+    return sorted(out, key=lambda site: site.pattern)
+
+
+def _site(page: Page, lexicon: np.ndarray, candidates: Candidates, k: int, words: np.ndarray, known_now: np.ndarray, contexts: np.ndarray) -> Site:
+    p = candidates.patterns[k]
+    options = [p, *candidates.options[p]]
+    features = np.empty((len(options), FEATURES, len(known_now)), np.int32)
+    for j, new in enumerate(options):
+        known = known_now if j == 0 else _knows(lexicon, page.word_with(words, new))
+        extra = known.astype(np.uint64) + np.uint64(2) * known_now.astype(np.uint64)
+        contexts[-2] = extra
+        features[j, :-1] = _rows(contexts, k, j)
+        kind = 0 if j == 0 else 1 if (p, new) in candidates.common else 2
+        features[j, -1] = ((extra + np.uint64(4 * kind + 1)) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - BITS)
+    return Site(k, words[0].astype(np.int64), features)
+
+
+def _scores(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Sums of the weights of features ``(feature, option, site)``, added up in pairs."""
+    w = weights.take(features, mode="clip")
+    s = w[:8] + w[8:16]
+    s = s[::2] + s[1::2]
+    s = s[::2] + s[1::2]
+    s = s[0] + s[1]
+    for x in w[16:]:
+        s += x
+    return s
+
+
+def spoil(text: str, rng: random.Random, rate: float, breaks: float, spaced: float, marks: float, candidates: Candidates | None = None, spans: tuple[list[int], list[int]] | None = None) -> tuple[str, dict[tuple[int, str], str]]:
+    """A clean text with scan noise, and what each noisy place (offset, pattern) was. ``spans``: its :func:`letter_spans`."""
     candidates = candidates or Candidates()
     by_was = candidates.by_was
-    spans = [m.span() for m in re.finditer(r"[^\W\d_]+", text)]
-    starts = [s for s, _ in spans]
+    starts, ends = spans or next(letter_spans([text]))
     events: dict[int, list[tuple[int, str, str]]] = {}  # by offset: how many characters, read as, was
     cuts: dict[int, int] = {}  # where words are broken, -1 if spaced out
-    for k in _chosen(rng, len(spans), spaced):
-        s, e = spans[k]
+    for k in _chosen(rng, len(starts), spaced):
+        s, e = starts[k], ends[k]
         if e - s > 2:
             cuts[k] = -1
             events.update((i, [(0, " ", "")]) for i in range(s + 1, e))
-    for k in _chosen(rng, len(spans), breaks):
-        s, e = spans[k]
+    for k in _chosen(rng, len(starts), breaks):
+        s, e = starts[k], ends[k]
         if e - s > 4 and k not in cuts:
             cuts[k] = rng.randrange(s + 2, e - 1)
             events[cuts[k]] = [(0, rng.choice(BREAKS), "")]
@@ -368,7 +411,7 @@ def spoil(text: str, rng: random.Random, rate: float, breaks: float, spaced: flo
             if was not in by_was or at in at_pairs or at_pairs.get(at - 1):
                 continue
             k = bisect_right(starts, at) - 1
-            if k < 0 or at + size > spans[k][1] or cuts.get(k) == -1 or (size > 1 and cuts.get(k) == at + 1):
+            if k < 0 or at + size > ends[k] or cuts.get(k) == -1 or (size > 1 and cuts.get(k) == at + 1):
                 continue
             read = rng.choice(by_was[was])
             happens = rng.random() < candidates.rate.get((read, was), 1.0)
@@ -376,8 +419,8 @@ def spoil(text: str, rng: random.Random, rate: float, breaks: float, spaced: flo
                 events.setdefault(at, []).append((size, read, was))
             if size > 1:
                 at_pairs[at] = happens
-    for k in _chosen(rng, len(spans), marks):
-        e = spans[k][1]
+    for k in _chosen(rng, len(starts), marks):
+        e = ends[k]
         if text[e : e + 1] in (" ", "\n", ""):
             events.setdefault(e, []).append((0, rng.choice(MARKS), ""))
     parts, gold, at, grown = [], {}, 0, 0
@@ -420,17 +463,15 @@ def fit_editor(texts: list[str], rng: random.Random, candidates: Candidates, lex
     if lexicon is None:
         lexicon = lexicon_of(texts[: len(texts) * 4 // 5])
     spoilt, golds = [], []
-    for k, t in enumerate(texts):
+    for k, (t, spans) in enumerate(zip(texts, letter_spans(texts))):
         level = k % 3
         if level == 0:
             spoilt.append(t)
             golds.append({})
         else:
-            s, g = spoil(t, rng, (0.02, 0.06)[level - 1], 0.03, 0.01, 0.01, candidates)
+            s, g = spoil(t, rng, (0.02, 0.06)[level - 1], 0.03, 0.01, 0.01, candidates, spans)
             spoilt.append(s)
             golds.append(g)
-    w = np.zeros(1 << BITS)
-    total = np.zeros(1 << BITS)
     groups = []
     for a in range(0, len(spoilt), 300):
         page = Page(spoilt[a : a + 300])
@@ -445,28 +486,31 @@ def fit_editor(texts: list[str], rng: random.Random, candidates: Candidates, lex
                 where = np.minimum(np.searchsorted(site.pos, at), len(site.pos) - 1)
                 met = site.pos[where] == at
                 right[where[met]] = option[met]
-            groups.append((np.stack(site.features, axis=1).astype(np.int32), right))
+            groups.append((np.ascontiguousarray(site.features.transpose(2, 0, 1)), right))
+    w = np.zeros(1 << BITS)
+    late = np.zeros(1 << BITS)  # of what was added, how much the averaged states didn't have yet
     order = np.random.default_rng(5)
-    steps = 0
+    steps, numbers = 0, np.arange(BATCH)
     for _ in range(EPOCHS):
         for g in order.permutation(len(groups)):
             features, right = groups[g]
             shuffled = order.permutation(len(right))
-            for b in range(0, len(shuffled), BATCH):
-                pick = shuffled[b : b + BATCH]
-                f, r = features[pick], right[pick]
-                guess = w[f].sum(axis=2)
-                guess[np.arange(len(r)), r] -= 1.0  # a margin, so that right answers are also well apart
-                wrong = guess.argmax(axis=1)
+            features, right = features.take(shuffled, axis=0).transpose(2, 1, 0), right[shuffled]
+            for b in range(0, len(right), BATCH):
+                f, r = features[:, :, b : b + BATCH], right[b : b + BATCH]
+                guess = _scores(w, f)
+                guess[r, numbers[: len(r)]] -= 1.0  # a margin, so that right answers are also well apart
+                wrong = guess.argmax(axis=0) if len(guess) > 2 else (guess[1] > guess[0]).view(np.int8)
                 bad = np.flatnonzero(wrong != r)
                 if len(bad):
                     step = 1.0 / np.sqrt(len(bad))
-                    np.add.at(w, f[bad, r[bad]].ravel(), step)
-                    np.subtract.at(w, f[bad, wrong[bad]].ravel(), step)
+                    for sign, option in ((step, r), (-step, wrong)):
+                        at = f[:, option[bad], bad].ravel()
+                        np.add.at(w, at, sign)
+                        np.add.at(late, at, sign * (steps // 8))
                 steps += 1
-                if steps % 8 == 0:
-                    total += w
-    return (total / max(1, steps // 8)).astype(np.float32), lexicon
+    n = steps // 8  # every eighth state is averaged
+    return ((w * n - late) / max(1, n)).astype(np.float32), lexicon
 
 
 #: The forms of page numbers.
@@ -476,6 +520,8 @@ _TITLE = re.compile(r"[^\W\d_][\w’'-]*(?: [^\W\d_][\w’'-]*){0,5}(?: \d{1,5})
 
 
 _DIGITS = re.compile(r"\d+")
+_TAIL = re.compile(r" {2,}(\S.*)$")
+_MARK = re.compile(r"[#*|•]|\d+[.)] ")
 _SHAPES = [(_DIGITS, "0"), (re.compile(r"[a-zß-ÿα-ωά-ώа-яё]+"), "a"), (re.compile(r"[A-ZÀ-ÞΑ-ΩА-Я]+"), "A"), (re.compile(r"(A )+"), "A "), (re.compile(r"(Aa ?)+"), "T ")]
 
 
@@ -498,40 +544,78 @@ def candidate_lines(lines: list[str]) -> list[int]:
     return out
 
 
-def line_features(lines: list[str], i: int, common: Counter) -> list[str]:
-    """Of line ``i``: its form, its neighbours, its place in the page and whether it recurs."""
+def line_features(lines: list[str], i: int, common: Counter, joined: str) -> tuple[str, ...]:
+    """Of line ``i``: its form, its neighbours, its place in the page and whether it recurs. ``joined`` is all of :func:`_joined`."""
+    above, below, n = i - 1, i + 1, len(lines)
+    while above >= 0 and not lines[above].strip():
+        above -= 1
+    while below < n and not lines[below].strip():
+        below += 1
+    up, down = _short(_beside, lines[above] if above >= 0 else ""), _short(_beside, lines[below] if below < n else "")
     s = lines[i].strip()
-    above = next((lines[j] for j in range(i - 1, -1, -1) if lines[j].strip()), "")
-    below = next((lines[j] for j in range(i + 1, len(lines)) if lines[j].strip()), "")
-    up, down = above.rstrip(), below.strip()
-    end = "none" if not up else "stop" if up[-1] in ".!?”»\"" else "hyphen" if up[-1] in "-¬" else "comma" if up[-1] in ",;:" else "digit" if up[-1].isdigit() else "word"
-    begin = "none" if not down else "lower" if down[0].islower() else "upper" if down[0].isupper() else "digit" if down[0].isdigit() else "sign"
+    room = (above < i - 1 or above < 0, below > i + 1 or below == n)
+    begins = joined.count("\n" + s) > lines[i].startswith(s)
+    return _line_names(_own(s), up, down, i == 0, room, begins, common[_short(_key, s)] > 1)
+
+
+def _short(f, line: str):
+    """A remembered result, but for longer lines, which aren't remembered."""
+    return f(line) if len(line) <= 200 else f.__wrapped__(line)
+
+
+@lru_cache(maxsize=1 << 14)
+def _key(line: str) -> str:
+    return _DIGITS.sub("#", line.strip()).lower()
+
+
+def _joined(lines: list[str]) -> str:
+    return "\n" + "\n".join(lines)
+
+
+@lru_cache(maxsize=1 << 14)
+def _own(s: str) -> tuple:
+    """What features need of a line itself."""
     number = bool(_NUMBER_LINE.fullmatch(s))
-    tail = re.search(r" {2,}(\S.*)$", s)
+    tail = _TAIL.search(s) if "  " in s else None
     title = bool(_TITLE.fullmatch(s.split("    ")[0]))
-    bare = number and s.isdigit()
-    form = "bare" if bare else "number" if number else "title+number" if tail and _NUMBER_LINE.fullmatch(tail.group(1)) else "title" if title else "other"
-    caps = "caps" if s.isupper() else ""
-    room = f"{not (i and lines[i - 1].strip())}{not (i + 1 < len(lines) and lines[i + 1].strip())}"
-    place = "first" if i == 0 or not up else "last" if not down else "amid"
-    wide = f"{len(up) > 40}{len(down) > 40}"
-    prose = f"{up.count(' ') > 4}{down.count(' ') > 4}"
-    partner = bool(_NUMBER_LINE.fullmatch(up.strip())) or bool(_NUMBER_LINE.fullmatch(down))
-    begins = "begins" if any(j != i and x.startswith(s) for j, x in enumerate(lines)) else ""
-    over = "title" if _TITLE.fullmatch(up.strip()) and up.count(" ") < 4 else "text"
-    again = "again" if common[_DIGITS.sub("#", s).lower()] > 1 else ""
-    mark = "mark" if re.match(r"[#*|•]|\d+[.)] ", s) else ""
-    cells = "cells" if any(c in s or c in up[-80:] for c in ("|", "\t", ";")) else ""
-    f = [
+    form = "bare" if number and s.isdigit() else "number" if number else "title+number" if tail and _NUMBER_LINE.fullmatch(tail.group(1)) else "title" if title else "other"
+    return form, "caps" if s.isupper() else "", _shape(s), "mark" if _MARK.match(s) else "", any(c in s for c in "|\t;"), len(s) // 8
+
+
+@lru_cache(maxsize=1 << 14)
+def _beside(line: str) -> tuple:
+    """What features need of a line that stands beside one: before it, and after it."""
+    up, down = line.rstrip(), line.strip()
+    end = "none" if not up else "stop" if up[-1] in ".!?”»\"" else "hyphen" if up[-1] in "-¬" else "comma" if up[-1] in ",;:" else "digit" if up[-1].isdigit() else "word"
+    begin = "none" if not down else "lower" if down[0].islower() else "upper" if down[0].isupper() else "digit" if down[0].isdigit() else "sign"
+    blanks, last = up.count(" "), up[-80:]
+    title = blanks < 4 and bool(_TITLE.fullmatch(down))
+    cells = "|" in last or "\t" in last or ";" in last
+    return end, begin, bool(_NUMBER_LINE.fullmatch(down)), title, cells, (len(up) > 40, blanks > 4), (len(down) > 40, down.count(" ") > 4)
+
+
+@lru_cache(maxsize=1 << 14)
+def _line_names(own: tuple, above: tuple, below: tuple, start: bool, blank: tuple[bool, bool], prefix: bool, recurs: bool) -> tuple[str, ...]:
+    form, caps, shape, mark, parted, size = own
+    end, _, number_up, title_up, cells_up, up, _ = above
+    _, begin, number_down, _, _, _, down = below
+    room = f"{blank[0]}{blank[1]}"
+    place = "first" if start or end == "none" else "last" if begin == "none" else "amid"
+    wide, prose = (f"{a}{b}" for a, b in zip(up, down))
+    partner = number_up or number_down
+    begins = "begins" if prefix else ""
+    over = "title" if title_up else "text"
+    again = "again" if recurs else ""
+    cells = "cells" if parted or cells_up else ""
+    return (
         "1", f"form={form}", f"{form},{place}", f"{form},{end},{begin}", f"{form},{end}", f"{form},{begin}", f"{form},{room}", f"{form},{wide}", f"{form},{prose}", f"{form},{prose},{place}", f"{form},{caps}",
-        f"shape={_shape(s)}", f"shape={_shape(s)},{prose}", f"{form},{again}", f"{form},{partner}", f"{form},{partner},{end},{begin}", f"{form},{place},{end},{begin},{prose}", f"{mark},{form}", f"{cells},{form}", f"len={len(s) // 8},{form}", f"{form},{room},{end},{begin}",
+        f"shape={shape}", f"shape={shape},{prose}", f"{form},{again}", f"{form},{partner}", f"{form},{partner},{end},{begin}", f"{form},{place},{end},{begin},{prose}", f"{mark},{form}", f"{cells},{form}", f"len={size},{form}", f"{form},{room},{end},{begin}",
         f"{form},{begins},{place}", f"{form},{over}", f"{form},{over},{room},{prose}",
-    ]
-    return f
+    )
 
 
 def _recurring(lines: list[str]) -> Counter:
-    return Counter([_DIGITS.sub("#", x.strip()).lower() for x in lines])
+    return Counter([_key(x) if len(x) <= 200 else _key.__wrapped__(x) for x in lines])
 
 
 def furnish(text: str, rng: random.Random, titles: list[str]) -> tuple[str, set[int]]:
@@ -601,23 +685,24 @@ def fit_lines(texts: list[str], rng: random.Random) -> dict[str, float]:
             if k % 2 and len(lines) > 2:
                 lines, found = _cut(lines, found, rng)
             maybe = candidate_lines(lines)
-            common = _recurring(lines) if maybe else Counter()
+            if maybe:
+                common, joined = _recurring(lines), _joined(lines)
             for i in maybe:
-                data.append((line_features(lines, i, common), i in found))
-    w: dict[str, float] = {}
-    total: dict[str, float] = {}
+                data.append((line_features(lines, i, common, joined), i in found))
+    numbers: dict[str, int] = {}
+    rows = {f: [numbers.setdefault(x, len(numbers)) for x in f] for f in dict.fromkeys([f for f, _ in data])}
+    data = [(rows[f], 1 if right else -1) for f, right in data]
+    w, total = [0] * len(numbers), [0] * len(numbers)
     step = 1
     for _ in range(LINE_EPOCHS):
         rng.shuffle(data)
-        for f, right in data:
-            score = sum([w.get(x, 0.0) for x in f])
-            if (score > 0) != right or abs(score) < 2:
-                d = 1.0 if right else -1.0
+        for f, d in data:
+            if sum([w[x] for x in f]) * d < 2:  # wrong, or not by a margin
                 for x in f:
-                    w[x] = w.get(x, 0.0) + d
-                    total[x] = total.get(x, 0.0) + d * step
+                    w[x] += d
+                    total[x] += d * step
             step += 1
-    return {x: v - total[x] / step for x, v in w.items()}
+    return {name: w[x] - total[x] / step for name, x in numbers.items() if w[x] or total[x]}
 
 
 def fit(texts: list[str], noisy: Iterable[str] = (), seed: int = 11) -> ScanModel:
@@ -683,6 +768,18 @@ def groups_of(texts: list[str]) -> Iterator[list[str]]:
             yield texts[a:b]
 
 
+@contextmanager
+def _no_collecting() -> Iterator[None]:
+    """Without looking for garbage in cycles, of which there is none here; what isn't used any more goes at once all the same."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 #: Weights are added up as whole numbers of this fraction, so that sums don't depend on the order.
 _UNIT = 1 << 20
 _EDITOR, _LINES, _GROUPS, _CODES, _MADE = range(5)
@@ -710,6 +807,10 @@ def fit_on(docs: DataFrame, noisy: DataFrame, text_col: str = "text", fields: tu
         texts = [t for batch in batches for t in batch.column(0).to_pylist()]
         if not texts:
             return
+        with _no_collecting():
+            yield from learn(texts, table, candidates)
+
+    def learn(texts: list[str], table: np.ndarray, candidates: Candidates) -> Iterator[pa.RecordBatch]:
         texts = [t for _, t in sorted((zlib.crc32(t.encode("utf-8", "surrogatepass")), t) for t in texts)]
         weights, lines = np.zeros(1 << BITS, np.int64), Counter()
         for group in groups_of(texts):
@@ -757,6 +858,7 @@ def _even(text: str) -> str:
 class Restorer:
     def __init__(self, model: ScanModel):
         self.model = model
+        self._lines: dict[tuple[str, ...], bool] = {}
 
     def furniture(self, text: str) -> tuple[str, int]:
         """The text without running headings and page numbers, and how many lines those were.
@@ -770,8 +872,18 @@ class Restorer:
         found = candidate_lines(lines)
         if not found:
             return text, 0
-        w, common = self.model.lines, _recurring(lines)
-        drop = {i for i in found if sum(w.get(x, 0.0) for x in line_features(lines, i, common)) > 0}
+        w, common, joined = self.model.lines, _recurring(lines), _joined(lines)
+        drop = set()
+        for i in found:
+            f = line_features(lines, i, common, joined)
+            if f not in self._lines:
+                if len(self._lines) >= 1 << 14:
+                    self._lines.clear()
+                self._lines[f] = sum([w.get(x, 0.0) for x in f]) > 0
+            if self._lines[f]:
+                drop.add(i)
+        if not drop:
+            return text, 0
         full = [i for i, x in enumerate(lines) if x.strip()]
         if not drop - {full[0], full[-1]}:
             return text, 0
@@ -809,12 +921,9 @@ class Restorer:
         page = Page(texts)
         w, edits = self.model.weights, []
         for site in sites_of(page, self.model.lexicon, self.model.candidates):
-            keep = w[site.features[0]].sum(axis=1)
-            best, which = np.full(len(keep), -np.inf), np.zeros(len(keep), np.int64)
-            for j, f in enumerate(site.features[1:]):
-                s = w[f].sum(axis=1) - keep
-                better = s > best
-                best, which = np.where(better, s, best), np.where(better, j, which)
+            scores = _scores(w, site.features.transpose(1, 0, 2))
+            gains = scores[1:] - scores[0]
+            best, which = gains.max(axis=0), gains.argmax(axis=0)
             for k in np.flatnonzero(best > self.model.margin).tolist():
                 edits.append((float(best[k]), int(site.pos[k]), site.pattern, int(which[k])))
         per_text: list[list] = [[] for _ in texts]
@@ -968,26 +1077,29 @@ def restore_fields(rows: DataFrame, model: ScanModel, garbled: EncodingModel | N
         model, garbled = shared.value
         restorer, judge = Restorer(model), Repairer(garbled) if garbled is not None else None
         for batch in batches:
-            at, which, joins, wrong, furniture, texts = [], [], [], [], [], []
-            for j, field in enumerate(fields, 1):
-                values = batch.column(j).to_pylist()
-                index = [i for i, v in enumerate(values) if v]
-                if judge:
-                    judge.prepare(values)
-                    for i in index:
-                        values[i] = judge.repair(values[i])[1]
-                distinct = list(dict.fromkeys(values[i] for i in index))
-                restored = dict(zip(distinct, restorer.restore(distinct)))
-                for i in index:
-                    new, counts = restored[values[i]]
-                    if is_case(counts):
-                        at.append(i)
-                        which.append(field)
-                        joins.append(counts["join"])
-                        wrong.append(counts["wrong"])
-                        furniture.append(counts["furniture"])
-                        texts.append(reflow(new))
-            ints = [pa.array(x, pa.int64()) for x in (joins, wrong, furniture)]
-            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(which, pa.string()), *ints, pa.array(texts, pa.string())], names=names)
+            with _no_collecting():
+                out = judged(batch, restorer, judge)
+            yield out
+
+    def judged(batch: pa.RecordBatch, restorer: Restorer, judge: Repairer | None) -> pa.RecordBatch:
+        at, which, joins, wrong, furniture, texts = [], [], [], [], [], []
+        for j, field in enumerate(fields, 1):
+            values = batch.column(j).to_pylist()
+            index = [i for i, v in enumerate(values) if v]
+            if judge:
+                values = [t for _, t in judge.repair_all(values)]
+            distinct = list(dict.fromkeys(values[i] for i in index))
+            restored = dict(zip(distinct, restorer.restore(distinct)))
+            for i in index:
+                new, counts = restored[values[i]]
+                if is_case(counts):
+                    at.append(i)
+                    which.append(field)
+                    joins.append(counts["join"])
+                    wrong.append(counts["wrong"])
+                    furniture.append(counts["furniture"])
+                    texts.append(reflow(new))
+        ints = [pa.array(x, pa.int64()) for x in (joins, wrong, furniture)]
+        return pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(which, pa.string()), *ints, pa.array(texts, pa.string())], names=names)
 
     return rows.select(id_col, *fields).mapInArrow(run, f"`{id_col}` {kind}, field string, joins bigint, wrong bigint, furniture bigint, restored string")

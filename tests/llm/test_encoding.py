@@ -1,4 +1,7 @@
+import re
+
 import duckdb
+import numpy as np
 import pytest
 
 from folioscan.llm import encoding as en
@@ -64,3 +67,44 @@ def test_sample_is_bounded(spark):
     got = sample_texts(df, 50)
     assert 0 < len(got) <= 50 and len(set(got)) == len(got) and got == sample_texts(df.repartition(7), 50)
     assert sample_texts(df.limit(0), 50) == []
+
+
+def test_many_at_once(texts, model, monkeypatch):
+    """Many values are judged as each by itself, and the words of each are looked for once."""
+    chains = [None, "utf8>cp1252", "utf8>mac", "cp1251>cp1252"]
+    values = [(c and en.garble(t, c)) or t for t, c in zip(texts, chains * len(texts))] + [None, "", "plain", "le d�p�t", "Den Kran prÃ¼ft das Büro."]
+    each = [en.Repairer(model).repair(v) for v in values[-60:]]
+    seen, words_of = [], en.words_of
+    monkeypatch.setattr(en, "words_of", lambda t: seen.append(t) or words_of(t))
+    for chars in (1, 2000, 1 << 20):
+        seen.clear()
+        judge = en.Repairer(model)
+        assert judge.repair_all(values, chars)[-60:] == each
+        assert sorted(seen) == sorted(v for v in values if v and not v.isascii())
+
+
+def test_words_beyond_ascii():
+    """A word is all ASCII letters and digits and all other characters around the first beyond ASCII."""
+    text = "ab1é2 xyz ñ\nüü-aß_ç 9"
+    assert [(text[s:e], w) for s, e, w in en.words_of(text)] == [("ab1é2", "  ab1é2 a"), ("ñ", "a ñ\n\x01"), ("üü", "\x01\nüü-a"), ("aß", "\x01-aß_\x01"), ("ç", "\x01_ç 0")]
+    assert en.words_of("x" * 100_000 + "é")[0][:2] == (0, 100_001) and en.words_of("plain") == []
+
+
+def test_letter_spans():
+    texts = ["", "ab", "a1 Bc_dé,x", "сло́во ½Ⅷ²", " \n", "\U00010400\U00020000 \U000e0041\U0010fffd", "中文 a", "x" * 5000]
+    for least in (1, 2):
+        for rows in (1, 3, 100):
+            got = [list(zip(*x)) for x in en.letter_spans(texts, least, rows)]
+            assert got == [[m.span() for m in re.finditer(rf"[^\W\d_]{{{least},}}", t)] for t in texts]
+    every = "".join(map(chr, range(0x110000)))
+    assert list(zip(*next(en.letter_spans([every])))) == [m.span() for m in re.finditer(r"[^\W\d_]+", every)]
+
+
+def test_scores_are_sums(texts, model):
+    """However many words are scored at once, each has the sum of its own weights."""
+    words = sorted({w for t in texts[:300] for _, _, w in en.words_of(t)}) + ["  " + "é" * 70_000 + "  ", "  ü  "]
+    scores = model.scores(words)
+    for i in (0, 1, len(words) // 2, len(words) - 2, len(words) - 1):
+        _, bucket = en.features([words[i]])
+        assert np.allclose(scores[i], model.weights[bucket].sum(axis=0, dtype=np.float64) * en.TEMPER + model.prior)
+    assert model.scores([]).shape == (0, len(en.LABELS))

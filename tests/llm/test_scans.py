@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from folioscan.llm import scans as sc
@@ -194,3 +195,27 @@ def test_groups_are_all_texts(monkeypatch):
     for texts in (["a"], ["ab" * n for n in range(1, 40)], ["x" * 500, "y", "z" * 90]):
         groups = list(sc.groups_of(texts))
         assert [t for g in groups for t in g] == texts and all(groups) and all(sum(map(len, g[1:])) <= 200 for g in groups)
+
+
+def test_contexts_once_for_each_length(texts, monkeypatch):
+    """What stands around all places of a page is looked at once for each length of patterns, not for each pattern."""
+    candidates, seen, contexts = sc.Candidates(), [], sc.Page.contexts
+    monkeypatch.setattr(sc.Page, "contexts", lambda page, words, size: seen.append(size) or contexts(page, words, size))
+    sites = sc.sites_of(sc.Page(texts[:40]), sc.lexicon_of(texts[:20]), candidates)
+    assert len(sites) > 20 and sorted(seen) == sorted({len(candidates.patterns[s.pattern]) for s in sites})
+    assert [s.pattern for s in sites] == sorted({s.pattern for s in sites})
+    for s in sites:
+        assert s.features.shape == (1 + len(candidates.options[candidates.patterns[s.pattern]]), sc.FEATURES, len(s.pos))
+
+
+def test_scores_and_average(texts, monkeypatch):
+    """Scores are sums of weights, and the weights the mean of every eighth state."""
+    rng = np.random.default_rng(3)
+    w, f = rng.normal(size=1 << sc.BITS).astype(np.float32), rng.integers(0, 1 << sc.BITS, (sc.FEATURES, 3, 50), np.int32)
+    assert (sc._scores(w, f) == w[np.ascontiguousarray(f.transpose(2, 1, 0))].sum(axis=2).T).all()
+    states, scores = [], sc._scores
+    monkeypatch.setattr(sc, "_scores", lambda w, f: states.append(w.copy()) or scores(w, f))
+    got, _ = sc.fit_editor(texts[:10], random.Random(4), sc.Candidates())
+    assert len(states) > 40 and np.abs(got).max() > 0.1
+    if len(states) % 8:  # else the last state isn't seen here
+        assert np.allclose(got, np.mean(states[8::8], axis=0), atol=1e-6)
